@@ -112,4 +112,29 @@ FROM placed
 """
 
 
-ORACLES = {"op1_line_dedup": OP1, "op5_license_scan": _op5(), "op6_mixing": _op6()}
+OP9 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{WS}]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+one AS (SELECT s, min(doc_id) AS doc_id, len(s) AS n FROM sets GROUP BY s),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM one),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, comp) AS (
+  SELECT doc_id, doc_id FROM one WHERE n > 0
+  UNION SELECT ways.b, reach.comp FROM reach JOIN ways ON ways.a = reach.node),
+comps AS (SELECT node, min(comp) AS comp FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id,
+  s.doc_id = coalesce(c.comp, s.doc_id) AS kept
+FROM sets s LEFT JOIN one o ON s.s = o.s AND o.n > 0 LEFT JOIN comps c ON c.node = o.doc_id
+"""
+
+
+ORACLES = {"op1_line_dedup": OP1, "op5_license_scan": _op5(), "op6_mixing": _op6(), "op9_near_dedup": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinsieve.llm import licenses, line_dedup, mixing
+from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup
 from twinsieve.runtime import table
 
 
@@ -22,8 +22,18 @@ def op6_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "again")
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_decontamination": op10_decontamination,
 }
