@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver has it from."""
+    context = spark.sparkContext
+    if getattr(context, "_twinsieve_shipped", False):
+        return
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="twinsieve-package-")  # the driver serves it; workers fetch a copy
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/twinsieve-package.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(path)
+    context._twinsieve_shipped = True
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
