@@ -1,3 +1,66 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: quality rules, line de-duplication, near-duplicate removal,
+benchmark decontamination, then mixing to target weights."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinsieve.llm import decontamination, line_dedup, mixing, near_dedup, quality
+from twinsieve.runtime import materialise, table
+
+#: Words as in the operators: runs of anything but the six blanks.
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the ids listed; rows with a null id stay."""
+    gone = ids.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the rules or the forest reject."""
+    verdicts = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, verdicts.where(~F.col("kept")))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated line runs; a document that had words and has none left goes."""
+    cut = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each near-duplicate group."""
+    return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training positions and word counts of the mix."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_deduplication),
+    ("near dedup", near_duplicate_removal),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mixing", source_mixing),
+]
+
+#: The isolation forest and SimHash stages are beyond SQL; tests use brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

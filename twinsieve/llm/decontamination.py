@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.words import U64, WordHashes, shingles
+from twinsieve.runtime import ship_package
 
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SCREEN_BITS = 20
@@ -159,6 +160,7 @@ def contaminated(
     The items are read in blocks of at most ``block_bytes`` of text (here one block), each
     sent to the tasks; documents are never shuffled. More blocks mean more passes.
     """
+    ship_package(docs.sparkSession)
     source = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     source = source.where("t IS NOT NULL").distinct()
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0

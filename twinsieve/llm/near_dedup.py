@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.words import U64, WordHashes, mix64, shingle_set
 from twinsieve.operators.components import connected_components
-from twinsieve.runtime import drop_materialised, materialise
+from twinsieve.runtime import drop_materialised, materialise, ship_package
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -155,6 +155,7 @@ def near_duplicates(
     are linked with nothing (``component_id`` null, ``kept`` true). Rows that share an id
     are one document. An empty table gives an empty result. Other columns are not read.
     """
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(
         texts.mapInArrow(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup
+from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality
 from twinsieve.runtime import table
 
 
@@ -13,6 +13,10 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op9_near_dedup": op9_near_dedup,
