@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality
+from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets
 from twinsieve.runtime import table
 
 
@@ -26,6 +26,29 @@ def op6_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "again")
 
 
+def op7_personal_data(spark, sf_dir):
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.RULES)],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "found")).alias("spans"),
+    )
+
+
+def op8_secret_scan(spark, sf_dir):
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("items", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(secrets.joined(F.filter("items", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.joined(F.col("items")).alias("spans"),
+        F.size(F.filter("items", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +62,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_personal_data": op7_personal_data,
+    "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
