@@ -35,6 +35,30 @@ FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id
 """
 
 
+OP2 = """
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+bounded AS (SELECT t.*, last FROM t JOIN ends USING (conv_id)),
+final AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM bounded WHERE turn = last AND role = 'assistant'),
+chosen AS (SELECT conv_id AS pair_id, turn, role, text FROM bounded WHERE turn <= last),
+rejected AS (
+  SELECT conv_id AS pair_id, turn, role, text FROM bounded WHERE turn < last
+  UNION ALL SELECT e.conv_id, e.last, f.role, f.text FROM final f JOIN ends e USING (conv_id)),
+fork AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.turn, r.turn)) AS fork
+  FROM chosen c FULL JOIN rejected r ON c.pair_id = r.pair_id AND c.turn = r.turn
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+every AS (SELECT *, 'chosen' AS part FROM chosen UNION ALL SELECT *, 'rejected' AS part FROM rejected),
+placed AS (SELECT every.*, fork IS NULL OR turn < fork AS shared FROM every LEFT JOIN fork USING (pair_id)),
+shown AS (
+  SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE part END AS part, turn, role, NOT shared AND role = 'assistant' AS trained,
+    '<|' || role || '|>' || chr(10) AS header, text FROM placed WHERE NOT shared OR part = 'chosen')
+SELECT pair_id, part, turn, role, trained, CASE WHEN trained THEN length(header) END::INTEGER AS train_from,
+  length(header || text || '<|end|>' || chr(10))::INTEGER AS n_chars, sha256(header || text || '<|end|>' || chr(10)) AS sha256
+FROM shown
+"""
+
+
 def _op5() -> str:
     pairs = ", ".join(f"({_quoted(text)}, {_quoted(name)})" for name, text in licenses.SENTENCES.items())
     rules = ", ".join(
@@ -137,4 +161,4 @@ FROM sets s LEFT JOIN one o ON s.s = o.s AND o.n > 0 LEFT JOIN comps c ON c.node
 """
 
 
-ORACLES = {"op1_line_dedup": OP1, "op5_license_scan": _op5(), "op6_mixing": _op6(), "op9_near_dedup": OP9}
+ORACLES = {"op1_line_dedup": OP1, "op2_chat_format": OP2, "op5_license_scan": _op5(), "op6_mixing": _op6(), "op9_near_dedup": OP9}

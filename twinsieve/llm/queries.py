@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from twinsieve.llm import decontamination, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets
+from twinsieve.llm import (
+    chat,
+    decontamination,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    secrets,
+    token_counts,
+)
 from twinsieve.runtime import table
 
 
@@ -13,6 +26,25 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def op2_chat_format(spark, sf_dir):
+    chosen, rejected = chat.swapped_endings(table(spark, sf_dir, "conversations"))
+    out = chat.format_preferences(chosen, rejected)
+    digest = F.sha2(F.col("rendered"), 256).alias("sha256")
+    return out.select("pair_id", "part", "turn", "role", "trained", "train_from", F.length("rendered").alias("n_chars"), digest)
+
+
+def op3_token_counts(spark, sf_dir, tokenizers=os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")):
+    """Three edits a document: a replacement, a deletion and an insertion."""
+    ranks = f"{tokenizers}/byte_bpe_50k.tiktoken"
+    indexed = token_counts.index_tokens(table(spark, sf_dir, "documents"), ranks)
+    n = F.length("text")
+    edit = lambda b, e, new: F.struct(b.cast("long").alias("begin"), e.cast("long").alias("end"), F.lit(new).alias("new"))
+    quarter, half, rest = F.floor(n / 4), F.floor(n / 2), F.floor(3 * n / 4)
+    edits = F.array(edit(quarter, quarter + 3, "edited words "), edit(half, half + 10, ""), edit(rest, rest, "\n\nA new line.\n"))
+    out = token_counts.recount(indexed.withColumn("edits", edits), ranks)
+    return out.select("doc_id", "tokens_before", "tokens_after", "n_edits", "chars_encoded", F.length("text").alias("n_chars"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +91,8 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
