@@ -178,7 +178,7 @@ def _sign_keys(batches: Iterator[pa.RecordBatch], dim: int, tables: int, bits: i
 
 
 def approximate_neighbors(
-    records: DataFrame, queries: DataFrame, k: int, *, threshold: float, tables: int = 48, bits: int = 6, seed: int = 1
+    records: DataFrame, queries: DataFrame, k: int, *, threshold: float, tables: int = 64, bits: int = 5, seed: int = 1
 ) -> DataFrame:
     """Like ``nearest_neighbors``, by random-hyperplane buckets (all rows are indexed); recall
     is to be measured with ``recall_at_k``."""
