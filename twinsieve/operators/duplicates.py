@@ -55,6 +55,8 @@ def _star(records: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 
 def _bands(fingerprint, radius: int) -> list:
+    if radius == 0:
+        return [fingerprint]
     edges = np.linspace(0, 64, min(radius, 63) + 2).astype(int)
     return [
         F.shiftrightunsigned(fingerprint, int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1).cast("long"))
