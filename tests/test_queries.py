@@ -7,7 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from twinsieve.plans.oracle import ORACLES
-from twinsieve.plans.queries import QUERIES
+from twinsieve.plans.queries import QUERIES as PLANS
+from twinsieve.plans.reports import QUERIES as REPORTS
+
+QUERIES = PLANS | REPORTS
 
 SF = "/root/testdata/sf0.001"
 
