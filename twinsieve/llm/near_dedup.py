@@ -123,6 +123,21 @@ def verify_batches(
             )
 
 
+def gram_batches(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
+    """``fam, rep, text`` -> ``fam, rep, g``: a row for each shingle of the set."""
+    hashes = WordHashes()
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            fams, reps = batch.column("fam").to_numpy(), batch.column("rep").to_numpy()
+            texts = batch.column("text").cast(pa.binary())
+            for begin in range(0, len(reps), 200):
+                part = range(begin, min(begin + 200, len(reps)))
+                sets = [shingle_set(hashes.of((texts[i].as_py() or b"").lower().split()), width) for i in part]
+                sizes = [len(x) for x in sets]
+                rows = (np.repeat(fams[begin : part.stop], sizes), np.repeat(reps[begin : part.stop], sizes), np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["fam", "rep", "g"])
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -132,7 +147,6 @@ def near_duplicates(
     percent: int = 85,
     bands: int = 32,
     rows: int = 6,
-    hub_rounds: int = 2,
 ) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -142,12 +156,15 @@ def near_duplicates(
 
     1. Each text gives a SuperMinHash signature of ``bands * rows`` slots and a digest of
        its set. Equal sets are collapsed to their least id (map-side combined).
-    2. Buckets of equal bands: in each, the members are checked against a hub, whose
-       pairs grow with the bucket's size and not its square; further rounds take another
-       hub for what is still in several components; members of a bucket that then still
-       belong to different components are checked pair by pair, so no pair that shares a
-       bucket is passed over. With the defaults a pair at 0.85 shares none with odds of
-       3e-7, one at 0.9 with 1e-11.
+    2. Buckets of equal bands: each member is checked against the bucket's least id, so the
+       pairs grow with the bucket's size and not its square. With the defaults a pair at
+       0.85 shares no bucket with odds of 3e-7, one at 0.9 with 1e-11.
+       What a family of buckets leaves in several components is then resolved exactly:
+       its core is the set of shingles that half of its members have. Each member is
+       checked against the member nearest to the core. Of the pairs that then still lie in
+       different components, two that share no shingle outside of the core (and are both
+       in it) can have at most the smaller core part in common; so only pairs that
+       share one, or whose core parts are large enough, are checked.
     3. Every pair is confirmed on the full sets, from the whole texts.
     4. Components by distributed star contraction.
 
@@ -186,45 +203,87 @@ def near_duplicates(
 
     # A pair's sizes alone can rule it out: the intersection is at most the smaller set.
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    links: list[DataFrame] = []
-    labels = None
-    tried: list[DataFrame] = []
-    for turn in range(hub_rounds + 1):
-        if labels is None:
-            open_members = members.withColumn("comp", F.col("rep"))
-        else:
-            tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-                "comp", F.coalesce("comp", "rep")
-            )
-            split = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            open_members = materialise(
-                tagged.join(split.select("bucket"), "bucket").select("bucket", "rep", "n", "comp"), "near-open"
-            )
-            if open_members.isEmpty():
-                break
-        if turn < hub_rounds:
-            order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rep"))
-            hubs = open_members.groupBy("bucket").agg(
-                F.min(F.struct(order.alias("o"), F.col("rep"), F.col("n"), F.col("comp"))).alias("hub")
-            )
-            met = open_members.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp"))
-            met = met.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("hub.rep").alias("y"), F.col("hub.n").alias("ny"))
-        else:
-            left = open_members.select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            right = open_members.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            met = left.join(right, "bucket").where("x < y AND cx <> cy")
-        pairs = met.where(fits(F.col("nx"), F.col("ny"))).select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-        ).distinct()
-        for done in tried:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        tried.append(pairs)
-        links.append(materialise(confirmed(pairs), "near-links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = connected_components(every, "a", "b")
+    # Enough in common: i / (x + y - i) >= percent / 100.
+    enough = lambda i, x, y: (100 + percent) * i >= percent * (x + y)
+
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"))
+    stars = materialise(
+        members.join(hubs, "bucket")
+        .where(F.col("rep") != F.col("hub.rep"))
+        .select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+        .distinct(),
+        "near-stars",
+    )
+    families = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("comp").alias("fam"))
+    links = materialise(confirmed(stars.where(fits(F.col("na"), F.col("nb"))).select("a", "b")), "near-links")
+
+    def open_members() -> DataFrame:
+        """``rep, n, fam, comp`` of the families that lie in several components so far."""
+        placed = (
+            families.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+            .withColumn("comp", F.coalesce("comp", "rep"))
+            .join(members.select("rep", "n").distinct(), "rep")
+        )
+        split = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return materialise(placed.join(split.select("fam"), "fam").select("rep", "n", "fam", "comp"), "near-open")
+
+    labels = connected_components(links, "a", "b")
+    unsettled = open_members()
+    grams = materialise(
+        unsettled.select("rep", "fam")
+        .join(known.withColumnRenamed("doc_id", "rep"), "rep")
+        .select("fam", "rep", "text")
+        .mapInArrow(lambda it: gram_batches(it, width=width), "fam long, rep long, g long"),
+        "near-grams",
+    )
+    sizes = unsettled.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
+    often = materialise(
+        grams.groupBy("fam", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").join(sizes, "fam")
+        .select("fam", "g", (2 * F.col("df") >= F.col("k")).alias("core")),
+        "near-often",
+    )
+    shared_grams = materialise(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "core"), "near-shared")
+    parts = shared_grams.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.count_if("core").alias("c"))
+    cores = often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size"))
+    measured = materialise(
+        unsettled.select("rep", "n", "fam").join(parts, "rep").join(cores, "fam", "left")
+        .select("rep", "n", "fam", "m", "c", F.coalesce("core_size", F.lit(0)).alias("core_size")),
+        "near-measured",
+    )
+    nearest = measured.groupBy("fam").agg(
+        F.max(F.struct((F.col("c") / (F.col("n") + F.col("core_size") - F.col("c"))).alias("j"), (-F.col("rep")).alias("r"), F.col("n"))).alias("hub")
+    )
+    nearest = nearest.select("fam", (-F.col("hub.r")).alias("hub"), F.col("hub.n").alias("hub_n"))
+    pairs = (
+        unsettled.join(nearest, "fam")
+        .where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
+        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        .distinct()
+    )
+    links = links.unionByName(materialise(confirmed(pairs), "near-links"))
+    labels = connected_components(links, "a", "b")
+
+    # m counts what a member can have in common with any other at all, c its part of the core.
+    left = open_members().join(measured.select("rep", "m", "c"), "rep")
+    left = materialise(left.where(100 * F.col("m") >= percent * F.col("n")), "near-left")
+    able = 100 * F.col("c") >= percent * F.col("n")
+    side = lambda df, s: df.select("fam", *[F.col(x).alias(x + s) for x in ("rep", "n", "comp", "m", "c")])
+    apart = F.col("comp1") != F.col("comp2")
+    major = left.where(able).groupBy("fam", "comp").count().groupBy("fam").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    minor = left.where(able).join(major, "fam").where(F.col("comp") != F.col("main"))
+    in_core = side(minor, "1").join(side(left.where(able), "2"), "fam").where(
+        apart & enough(F.least("c1", "c2"), F.col("n1"), F.col("n2"))
+    )
+    rest = shared_grams.where(~F.col("core")).select("rep", "g").join(left, "rep")
+    with_gram = lambda s: rest.select("fam", "g", *[F.col(x).alias(x + s) for x in ("rep", "n", "comp", "m")])
+    outside = with_gram("1").join(with_gram("2"), ["fam", "g"]).where(
+        (F.col("rep1") < F.col("rep2")) & apart & enough(F.least("m1", "m2"), F.col("n1"), F.col("n2"))
+    )
+    ends = lambda df: df.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
+    pairs = materialise(ends(in_core).unionByName(ends(outside)).distinct(), "near-pairs")
+    if not pairs.isEmpty():
+        links = links.unionByName(materialise(confirmed(pairs), "near-links"))
+        labels = connected_components(links, "a", "b")
     drop_materialised(known)
     tops = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("comp", "rep").alias("top")
