@@ -70,11 +70,11 @@ def hamming_pairs(records: DataFrame, radius: int, *, plan: str = "auto", small:
     Records of one fingerprint are a class: its least id stands for it in the pairs with
     other classes and has a pair of distance 0 with each other member. ``bands`` cuts the
     64 bits into ``radius`` + 1 parts, of which a pair within the radius shares one
-    (exact); ``loop`` compares all classes and is for sides of at most ``small`` rows,
-    which ``auto`` counts first.
+    (exact); ``loop`` broadcasts and compares all classes. The classes are counted first:
+    beyond ``small`` of them ``loop``, like ``auto``, gives way to ``bands``.
     """
     classes = materialise(_classes(records, "fp"), "fingerprints")
-    if plan == "auto":
+    if plan != "bands":
         plan = "loop" if classes.limit(small + 1).count() <= small else "bands"
     a = classes.select(F.col("id").alias("left_id"), F.col("fp").alias("fp1"))
     b = classes.select(F.col("id").alias("right_id"), F.col("fp").alias("fp2"))

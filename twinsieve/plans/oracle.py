@@ -205,7 +205,7 @@ BODIES = {
     "accuracy_by_class": "SELECT l1 AS label, count(*) AS n, count(*) FILTER (WHERE l1 = l2) AS correct, round(count(*) FILTER (WHERE l1 = l2) / count(*), 6) AS accuracy FROM ranked WHERE rank = 1 GROUP BY l1",
     "negative_controls": "SELECT cluster_id, first_id AS source_id, coalesce(lead(first_id) OVER (ORDER BY cluster_id), first_value(first_id) OVER (ORDER BY cluster_id)) AS control_id FROM clusters",
     "stratified_sample": "SELECT id, label, rank::INTEGER AS rank FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || id), id) AS rank FROM docs) WHERE rank <= 10",
-    "snapshot_rows": "SELECT split, sha256(string_agg(p || h, '' ORDER BY p || h)) AS snapshot_sha256 FROM (SELECT split, left(byte_sha256, 2) AS p, sha256(string_agg(row, '' ORDER BY row)) AS h FROM (SELECT *, sha256(concat_ws('|', id, split, label, byte_sha256, byte_size)) AS row FROM docs) GROUP BY 1, 2) GROUP BY split",
+    "snapshot_rows": "SELECT split, sha256(string_agg(q || h, '' ORDER BY q || h)) AS snapshot_sha256 FROM (SELECT split, left(p, 2) AS q, sha256(string_agg(p || h, '' ORDER BY p || h)) AS h FROM (SELECT split, left(byte_sha256, 5) AS p, sha256(string_agg(row, '' ORDER BY row)) AS h FROM (SELECT *, sha256(concat_ws('|', id, split, label, byte_sha256, byte_size)) AS row FROM docs) GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY split",
     "unknown_id_guard": "SELECT left_id AS id FROM edges WHERE left_id NOT IN (SELECT id FROM records) UNION SELECT right_id FROM edges WHERE right_id NOT IN (SELECT id FROM records)",
     "disjoint_family_guard": "SELECT id, count(*) AS n FROM members GROUP BY id HAVING count(*) > 1",
     "edge_order_guard": "SELECT left_id, right_id FROM edges WHERE left_id >= right_id",

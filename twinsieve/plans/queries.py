@@ -91,16 +91,22 @@ def records_vectors(spark, sf_dir):
     return vector_records(spark, sf_dir).select("id", "number", "split", "label", "fp")
 
 
+def _numbered(df, head, keys, name):
+    """Rows with their place (from 0) in the order of ``keys``; ``head`` is a prefix of the
+    first key that deals the rows out, so that no task sorts them all."""
+    df = df.withColumn("__head", head)
+    counts = df.groupBy("__head").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__head", before.alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__head").orderBy(*keys)) - 1
+    return df.withColumn("__k", within).join(starts, "__head").withColumn(name, F.col("__start") + F.col("__k")).drop("__head", "__k", "__start")
+
+
 def manifest_ordinal(spark, sf_dir):
-    """Canonical order (lower path, path, split, label): two levels, so that no task sorts all."""
+    """Canonical order: lower path, path, split, label."""
     r = doc_records(spark, sf_dir).withColumn("path", F.concat_ws("/", "split", "label", F.col("number").cast("string")))
     keys = [F.lower("path"), F.col("path"), F.col("split"), F.coalesce("label", F.lit(""))]
-    head = F.left(F.lower("path"), F.lit(12))
-    counts = r.groupBy(head.alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("h", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1
-    return r.withColumn("h", head).withColumn("k", within).join(starts, "h").select("id", "path", (F.col("start") + F.col("k")).alias("ordinal"))
+    return _numbered(r, F.left(F.lower("path"), F.lit(14)), keys, "ordinal").select("id", "path", "ordinal")
 
 
 def dup_id_issues(spark, sf_dir):
@@ -320,7 +326,13 @@ def _truth(spark, sf_dir):
     a = Audit(spark, sf_dir)
     q = a.vectors.where("number % 50 = 0").select(F.col("id").alias("left_id"), F.col("number").alias("n1"), F.col("label").alias("l1"), F.col("fp").alias("f1"))
     r = a.vectors.select(F.col("id").alias("right_id"), F.col("number").alias("n2"), F.col("label").alias("l2"), F.col("fp").alias("f2"))
-    pairs = r.join(F.broadcast(q) if q.count() <= 20_000 else q, F.col("n1") != F.col("n2"))
+    # Blocks of about 20,000 rows of each side meet by an equi-join on their numbers.
+    n_q, n_r = (df.count() // 20_000 + 1 for df in (q, r))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("i", deal("left_id", n_q)).withColumn("j", every(n_r))
+    r = r.withColumn("j", deal("right_id", n_r)).withColumn("i", every(n_q))
+    pairs = r.join(q, ["i", "j"]).where("n1 <> n2")
     return pairs.select("left_id", "right_id", "n1", "n2", F.col("l1").alias("corruption"), (F.col("l1") == F.col("l2")).alias("is_duplicate"),
                         hamming(F.col("f1"), F.col("f2")).cast("int").alias("distance"))
 
@@ -382,12 +394,11 @@ def accuracy_by_class(spark, sf_dir):
 
 def negative_controls(spark, sf_dir):
     """Each record of a content class with the first record of the next class (circular)."""
-    c = D.exact_clusters(doc_records(spark, sf_dir)).select("cluster_id", "first_id")
-    order = Window.orderBy("cluster_id")
-    ranked = materialise(c.withColumn("k", F.row_number().over(order)), "controls")
-    n = ranked.count()
-    other = ranked.select((F.col("k") - 1).alias("j"), F.col("first_id").alias("control_id"))
-    return ranked.join(other, F.col("k") % F.lit(max(n, 1)) == F.col("j")).select("cluster_id", F.col("first_id").alias("source_id"), "control_id")
+    c = D.exact_clusters(doc_records(spark, sf_dir)).select("cluster_id", "first_id", "byte_sha256")
+    ranked = materialise(_numbered(c, F.left("byte_sha256", F.lit(3)), ["cluster_id"], "k"), "controls")
+    n = max(ranked.count(), 1)
+    other = ranked.select(F.pmod(F.col("k") - 1, F.lit(n)).alias("k"), F.col("first_id").alias("control_id"))
+    return ranked.join(other, "k").select("cluster_id", F.col("first_id").alias("source_id"), "control_id")
 
 
 def stratified_sample(spark, sf_dir):
@@ -401,9 +412,11 @@ def snapshot_rows(spark, sf_dir):
     """The hash of each split's snapshot: rows in id order, hashed level by level."""
     r = doc_records(spark, sf_dir)
     row = F.sha2(F.concat_ws("|", "id", "split", "label", "byte_sha256", F.col("byte_size").cast("string")), 256)
-    part = r.select("split", F.left("byte_sha256", F.lit(2)).alias("p"), row.alias("h"))
-    part = part.groupBy("split", "p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return part.groupBy("split").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "h"))), ""), 256).alias("snapshot_sha256"))
+    level = r.select("split", F.left("byte_sha256", F.lit(5)).alias("p"), row.alias("h"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256).alias("h")
+    level = level.groupBy("split", "p").agg(digest("h"))
+    level = level.withColumn("q", F.left("p", F.lit(2))).groupBy("split", "q").agg(digest(F.concat("p", "h")))
+    return level.groupBy("split").agg(digest(F.concat("q", "h")).alias("snapshot_sha256"))
 
 
 def unknown_id_guard(spark, sf_dir):
