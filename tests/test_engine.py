@@ -325,6 +325,42 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "audit.json").read_bytes())["artifact_type"] == "audit"
 
 
+def test_report(spark, tmp_path):
+    from twinsieve.plans.report import html_page, markdown, scrubbed, write_report
+
+    for name in ("train/a/x.png", "test/a/y.png"):
+        os.makedirs((tmp_path / "d" / name).parent)
+        (tmp_path / "d" / name).write_bytes(images.encode_png(example_image()))
+    write_report(spark, str(tmp_path / "d"), str(tmp_path / "out"), ratios=(0.5, 0.25, 0.25))
+    text = (tmp_path / "out/report.md").read_text()
+    assert "## Leakage (1)" in text and "## Issues (0)\n\nNone recorded." in text and "train-test" in text
+    assert scrubbed("at /srv/x/y.png and C:\\data\\z, not http://a/b") == "at [private path] and [private path] not http://a/b"
+    assert "<td>&lt;b&gt;</td>" in html_page("t", [("n", ["c"], [["<b>"]], 1)]) and "\\|" in markdown("t", [("n", ["c"], [["a|b"]], 1)])
+
+
+def test_labeled_pairs(spark, tmp_path):
+    from twinsieve.sources import pairs
+
+    rng = np.random.default_rng(6)
+    for fold in "ce":
+        for i in range(3):
+            pixels = images.resize(rng.integers(0, 256, (6, 6, 3)).astype(np.uint8), 48, 48)
+            (tmp_path / f"{fold}{i}.png").write_bytes(images.encode_png(pixels))
+            (tmp_path / f"{fold}{i}-copy.png").write_bytes(images.encode_png(np.clip(pixels * 0.9, 0, 255).astype(np.uint8)))
+        rows = [f"{fold}{i}.png,{fold}{i}-copy.png,1,{fold}{i},{fold}{i}" for i in range(3)]
+        rows += [f"{fold}0.png,{fold}{i}.png,0,{fold}0,{fold}{i}" for i in (1, 2)]
+        (tmp_path / f"{fold}.csv").write_text("\n".join([",".join(pairs.HEADER), *rows]) + "\n")
+    folds = [pairs.load_fold(spark, str(tmp_path / f"{f}.csv"), str(tmp_path)) for f in "ce"]
+    out = pairs.evaluate_pairs(*folds)
+    assert out["calibration"]["recall"] == 1 and out["evaluation"]["tp"] + out["evaluation"]["fn"] == 3
+    with pytest.raises(sources.ManifestError):
+        pairs.evaluate_pairs(folds[0], folds[0])
+    for row in ("a.png,a.png,1,x,x", "a.png,b.png,1,x,y", "a.png,b.png,2,x,x", "a.png,b.png,1,x,", "a.png,b.png,1,x,x\nb.png,a.png,1,x,x"):
+        (tmp_path / "bad.csv").write_text(",".join(pairs.HEADER) + "\n" + row + "\nc.png,d.png,0,q,r\n")
+        with pytest.raises(sources.ManifestError):
+            pairs.read_pairs(str(tmp_path / "bad.csv"))
+
+
 def test_stream_dedup(spark, tmp_path):
     from twinsieve.streaming.dedup import first_contents
 

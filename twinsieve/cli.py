@@ -1,4 +1,5 @@
-"""Command line: ``scan``, ``audit``, ``repair``, ``materialize``, ``version``."""
+"""Command line: ``scan``, ``audit``, ``repair``, ``materialize``, ``report``,
+``evaluate-labeled-pairs``, ``benchmark-detection``, ``version``."""
 
 from __future__ import annotations
 
@@ -13,14 +14,19 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="twinsieve", description="Dataset integrity on Spark")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("version")
-    for name in ("scan", "audit", "repair", "materialize"):
+    pairs = commands.add_parser("evaluate-labeled-pairs")
+    for name in ("calibration", "evaluation", "root"):
+        pairs.add_argument(name)
+    pairs.add_argument("--minimum-precision", type=float, default=0.95)
+    commands.add_parser("benchmark-detection").add_argument("--sources", type=int, default=16)
+    for name in ("scan", "audit", "repair", "materialize", "report"):
         one = commands.add_parser(name)
         one.add_argument("dataset", help="image folder (split/class/file) or CSV manifest")
         one.add_argument("--radius", type=int, default=8)
         one.add_argument("--threshold", type=float, default=0.95)
         one.add_argument("--no-embeddings", action="store_true")
         if name != "scan":
-            one.add_argument("--output", required=name == "materialize")
+            one.add_argument("--output", required=name in ("materialize", "report"))
         if name in ("repair", "materialize"):
             one.add_argument("--ratios", required=True, help="train,val,test")
             one.add_argument("--seed", type=int, default=42)
@@ -36,7 +42,23 @@ def main(arguments: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("twinsieve").getOrCreate()
     try:
-        if given.command == "scan":
+        if given.command == "evaluate-labeled-pairs":
+            from twinsieve.sources.pairs import evaluate_pairs, load_fold
+
+            folds = [load_fold(spark, path, given.root) for path in (given.calibration, given.evaluation)]
+            out = evaluate_pairs(*folds, minimum_precision=given.minimum_precision)
+        elif given.command == "benchmark-detection":
+            from twinsieve.operators.synthetic import detection_benchmark
+
+            rows = detection_benchmark(spark, given.sources).orderBy("detector", "corruption", "threshold")
+            out = {"rows": [r.asDict() for r in rows.collect()]}
+        elif given.command == "report":
+            from twinsieve.plans.report import write_report
+
+            out = write_report(
+                spark, given.dataset, given.output, radius=given.radius, threshold=given.threshold, embeddings=not given.no_embeddings
+            )
+        elif given.command == "scan":
             rows = scan(*load_manifest(spark, given.dataset))
             found = rows.groupBy("issue").count().collect()
             out = {"records": sum(r["count"] for r in found if r.issue is None)}
