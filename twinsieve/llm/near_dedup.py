@@ -284,7 +284,8 @@ def near_duplicates(
     if not pairs.isEmpty():
         links = links.unionByName(materialise(confirmed(pairs), "near-links"))
         labels = connected_components(links, "a", "b")
-    drop_materialised(known)
+    for done in (known, members, stars, unsettled, grams, often, shared_grams, measured, left, pairs):
+        drop_materialised(done)
     tops = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("comp", "rep").alias("top")
     )
