@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -205,6 +206,72 @@ def test_license_scan(spark):
     assert all(licenses.normalise(s) == s for s in licenses.SENTENCES.values())
 
 
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    " You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+    ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific'
+    " language governing permissions and limitations under the License.",
+]
+MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
+    ' files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,'
+    " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the"
+    " Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+]
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+    " disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+ISC = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies."
+]
+GPL = [
+    "This program is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    " as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
+    " of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+]
+NOTICES = {
+    "apache2-header": APACHE, "apache2-short": APACHE[:1], "mit-text": MIT, "bsd-3-text": BSD, "isc-text": ISC,
+    "gpl3-text": [GPL[0] % (":", ",", 3), GPL[1]], "gpl2-text": [GPL[0] % (";", ";", 2), GPL[1]],
+    "apache2-notice": ["Licensed under the Apache License, Version 2.0."],
+    "mit-notice": ["Released under the MIT License."], "mit-notice-2": ["Licensed under the MIT License."],
+    "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3."],
+    "gpl3-notice-2": ["Licensed under the GNU General Public License, version 3."],
+    "mpl2-text": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "ccbysa4-notice": ["Licensed under CC BY-SA 4.0."], "ccby4-notice": ["Licensed under CC BY 4.0."],
+    "ccbync4-notice": ["Licensed under CC BY-NC 4.0."], "reserved-notice": ["All rights reserved."],
+}
+
+
+def test_license_rules_fire_on_their_official_texts_in_any_layout(spark):
+    assert set(NOTICES) == {r[0] for r in licenses.RULES}
+    rows, want = [], []
+    for rule, parts in NOTICES.items():
+        whole = ["Copyright 2020 Somebody.", *parts, "More text follows"]
+        layouts = ["\n\n".join(whole), " ".join(whole)]
+        for width in (30, 72, 80):
+            lines = [textwrap.wrap(p, width) for p in whole]
+            for sign, blank in (("", ""), (" * ", " *"), ("# ", "#"), ("// ", "//"), ("; ", ";"), ("! ", "!")):
+                for end in ("\n", "\r\n"):
+                    layouts.append(f"{end}{blank}{end}".join(end.join(sign + x for x in part) for part in lines))
+        rows += [(len(rows) + k, text, "s") for k, text in enumerate(layouts)]
+        want += [(rule, text) for text in layouts]
+    got = {r.doc_id: r.rules for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    missed = [(rule, text) for k, (rule, text) in enumerate(want) if rule not in got[k].split(",")]
+    assert not missed
+    apart = ["All rights\n\nreserved.", "All rights\n *\n * reserved.", "Not all rights\nreserved", "All rights\nreserved by us"]
+    rows = [(k, text, "s") for k, text in enumerate(apart)]
+    assert {r.sentence_ids for r in licenses.scan_licenses(documents(spark, rows)).collect()} == {""}
+
+
 # ---------------------------------------------------------------- mixing
 
 

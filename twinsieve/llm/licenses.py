@@ -59,19 +59,43 @@ RULES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
 SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
 
 
+#: Addresses stand as sentences of their own.
+ADDRESS = r"https?://[^\x20\x09-\x0D]+"
+
+
 def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def _pieces(text) -> F.Column:
+    """The normalised pieces of a text, each between two ``|``; a blank line gives an empty one."""
+    steps = (
+        (ADDRESS, "S$0S"),  # lower-cased text has no capitals: S is a sentence end, P a blank line
+        (r"[.!?;:](?=[\x20\x09-\x0D])", "S"),
+        (r"[^a-z0-9S\n]+", " "),
+        (r"(?: ?S)+ ?", "S"),
+        (r"[ S]?\n[ S]?(?:\n[ S]?)+", "P"),
+        (r"[ S]?\n[ S]?|S", "|"),
+        (r"\|+", "|"),
+        ("P", "||"),
+    )
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return F.concat(F.lit("|"), F.trim(out), F.lit("|"))
+
+
 def scan_licenses(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=None, rules=None
 ) -> DataFrame:
     """One row per input row: ``id_col, sentence_ids, rules, licenses, license_class``.
 
-    A text is cut into sentences at line ends and after ``. ! ? ; :`` followed by white
-    space; each normalised sentence that is known gives its identifier, in text order
-    (``sentence_ids``, joined by ``,``). A rule matches if its identifiers stand next to
-    each other, in order, in that sequence; unknown sentences in between do not matter.
+    A text is cut into pieces at line ends, after ``. ! ? ; :`` followed by white space and
+    around addresses; comment signs vanish as pieces are normalised. A piece, or a run of
+    pieces with no blank line inside, that gives a known sentence gives its identifier, in
+    text order (``sentence_ids``, joined by ``,``), however the text is wrapped; of several
+    that start at one piece the longest counts. A rule matches if its identifiers stand next
+    to each other, in order, in that sequence; unknown sentences in between do not matter.
     ``rules`` and ``licenses`` list the matches in rule order; ``license_class`` is the
     strictest class found (restricted, copyleft, permissive), or null.
 
@@ -80,11 +104,11 @@ def scan_licenses(
     """
     known, rules = sentences or SENTENCES, rules or RULES
     to_id = {text: name for name, text in known.items()}
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END, "$1\n"), "\n", -1)
-    found = F.filter(F.transform(cut, normal), lambda s: s.isin(list(to_id)))
+    longest = sorted(to_id, key=lambda s: (-len(s), s))
+    any_known = "|".join(r"[ |]".join(map(re.escape, s.split())) for s in longest)
+    found = F.regexp_extract_all(_pieces(F.col(text_col)), F.lit(rf"(?<=\|)(?:{any_known})(?=\|)"), F.lit(0))
     lookup = F.create_map(*[F.lit(x) for pair in to_id.items() for x in pair])
-    ids = F.transform(found, lambda s: F.element_at(lookup, s))
+    ids = F.transform(found, lambda s: F.element_at(lookup, F.translate(s, "|", " ")))
     out = docs.select(F.col(id_col), F.array_join(ids, ",").alias("sentence_ids"))
     padded = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     hits = F.array(
