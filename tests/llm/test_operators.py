@@ -91,6 +91,23 @@ def test_chat_format(spark):
     assert chat.format_preferences(frame([]), frame([])).count() == 0
 
 
+def test_whole_endings_keep_every_turn(spark):
+    turns = [
+        (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks"), (2, None, "user", "late"),  # trailing turns
+        (3, 0, "user", "yo"), (3, 1, "assistant", "b"),
+        (4, 0, "user", "alone"), (4, 1, None, "x"), (6, 0, "user", "q"), (6, 1, "assistant", "c"),  # no assistant, no neighbour
+        (8, None, "assistant", "n"), (9, 5, "assistant", "m"), (None, 0, "user", "no id"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.format_preferences(*chat.whole_endings(df)).collect()
+    body = lambda r: r.rendered.split("|>\n", 1)[1].removesuffix("<|end|>\n")
+    chosen = sorted((r.pair_id, body(r)) for r in out if r.part != "rejected")
+    assert chosen == sorted((c, t) for c, _, _, t in turns if c is not None)
+    rejected = sorted((r.pair_id, r.turn if r.turn is not None else -1, body(r)) for r in out if r.part == "rejected")
+    assert rejected == [(2, -1, "late"), (2, 1, "b"), (2, 2, "thanks"), (3, 1, "a"), (8, -1, "m"), (9, 5, "n")]
+    assert {r.part for r in out if r.pair_id == 4} == {"prompt"} and {r.part for r in out if r.pair_id == 6} == {"prompt", "chosen"}
+
+
 # ---------------------------------------------------------------- token counts
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -89,3 +89,22 @@ def swapped_endings(turns: DataFrame, *, role: str = "assistant") -> tuple[DataF
     swapped = final.join(ends, "conv_id").select(pair, F.col("end").alias("turn"), "role", "text")
     kept = bounded.where(F.col("turn") < F.col("end")).select(pair, *cols[1:])
     return chosen, kept.unionByName(swapped)
+
+
+def whole_endings(turns: DataFrame, *, role: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """As ``swapped_endings``, but with every turn of every conversation.
+
+    The turns after the last one of ``role`` stand on both sides, so do null turn numbers
+    (last, as in ``format_preferences``). A conversation without a turn of ``role`` is the
+    same on both sides: all of it is prompt. Rows with a null ``conv_id`` are left out.
+    """
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
+    turns = turns.where("conv_id IS NOT NULL").select("conv_id", at.alias("turn"), "role", "text")
+    mine = F.coalesce(F.col("role") == role, F.lit(False))
+    ends = turns.where(mine).groupBy("conv_id").agg(F.max("turn").alias("end"))
+    met = turns.join(ends, "conv_id", "left")
+    last = mine & F.coalesce(F.col("turn") == F.col("end"), F.lit(False))
+    cols = F.col("conv_id").alias("pair_id"), F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "text"
+    final = met.where(last).select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "role", "text")
+    swapped = final.join(ends.withColumnRenamed("end", "turn"), "conv_id")
+    return met.select(*cols), met.where(~last).select(*cols).unionByName(swapped.select(*cols))

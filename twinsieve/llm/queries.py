@@ -27,7 +27,16 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_chat_format(spark, sf_dir):
-    chosen, rejected = chat.swapped_endings(table(spark, sf_dir, "conversations"))
+    """Conversations up to their last assistant turn, as its SQL has them."""
+    return _formatted(*chat.swapped_endings(table(spark, sf_dir, "conversations")))
+
+
+def op2_chat_format_whole(spark, sf_dir):
+    """All turns of all conversations."""
+    return _formatted(*chat.whole_endings(table(spark, sf_dir, "conversations")))
+
+
+def _formatted(chosen, rejected):
     out = chat.format_preferences(chosen, rejected)
     digest = F.sha2(F.col("rendered"), 256).alias("sha256")
     return out.select("pair_id", "part", "turn", "role", "trained", "train_from", F.length("rendered").alias("n_chars"), digest)
@@ -92,6 +101,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
+    "op2_chat_format_whole": op2_chat_format_whole,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
