@@ -375,6 +375,20 @@ def select_radius(spark, sf_dir):
     return _rounded(M.select_radius(M.sweep(pairs, list(range(-1, 65)), lambda t: F.col("distance") <= t), 0.10))
 
 
+def labeled_pair_sweep_all(spark, sf_dir):
+    """``labeled_pair_sweep`` (pairs with an even second number, as its SQL has them) over all pairs."""
+    return _rounded(M.sweep(_truth(spark, sf_dir), list(range(-1, 65)), lambda t: F.col("distance") <= t))
+
+
+def select_radius_held_out(spark, sf_dir):
+    """The radius that ``select_radius`` chooses on the even fold, with its scores on both folds."""
+    fold = F.when(F.pmod("n2", F.lit(2)) == 0, "selection").otherwise("held_out")
+    pairs = _truth(spark, sf_dir).withColumn("fold", fold)
+    scores = materialise(M.sweep(pairs, list(range(-1, 65)), lambda t: F.col("distance") <= t, "fold"), "folds")
+    chosen = M.select_radius(scores.where("fold = 'selection'"), 0.10).select("threshold")
+    return _rounded(scores.join(chosen, "threshold"))
+
+
 def fold_independence(spark, sf_dir):
     """Contents and labels that two folds (even and odd ids) share."""
     r = doc_records(spark, sf_dir)
@@ -463,7 +477,8 @@ NAMES = (
     semantic_reviews_cross_split, label_conflicts, conflict_counts, semantic_conflicts, split_statistics, class_histogram,
     largest_remainder_targets, split_size_error, jsd_by_split, objective_before, group_vectors_entropy, singleton_groups,
     repair_assignments, repair_invariant, repair_leakage, moved_count, pair_metrics_exact, phash_threshold_sweep,
-    cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, fold_independence, accuracy_by_class,
+    cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, labeled_pair_sweep_all,
+    select_radius_held_out, fold_independence, accuracy_by_class,
     negative_controls, stratified_sample, snapshot_rows, unknown_id_guard, disjoint_family_guard, edge_order_guard,
     representative_ids, report_families,
 )
