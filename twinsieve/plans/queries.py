@@ -304,6 +304,26 @@ def repair_invariant(spark, sf_dir):
     return divided.join(missing)
 
 
+def repair_results(spark, sf_dir):
+    """Families over several target splits before and after the repair, records it moves and all records."""
+    a = Audit(spark, sf_dir)
+    out = materialise(B.repair_splits(a.records, a.members, RATIOS)[0], "repaired")
+    met = out.join(a.members, F.col("record_id") == F.col("id"))
+    span = lambda c: F.countDistinct(F.when(F.col(c).isin(*TARGETS), F.col(c)))
+    spans = met.groupBy("root").agg(span("original_split").alias("b"), span("repaired_split").alias("a"))
+    leaks = spans.agg(F.count_if(F.col("b") > 1).alias("leakage_before"), F.count_if(F.col("a") > 1).alias("leakage_after"), F.count(F.lit(1)).alias("n_families"))
+    return leaks.join(out.agg(F.count_if(F.col("original_split") != F.col("repaired_split")).alias("moved"), F.count(F.lit(1)).alias("n_records")))
+
+
+def repair_split_counts(spark, sf_dir):
+    """Records per split before and after the repair."""
+    a = Audit(spark, sf_dir)
+    out = materialise(B.repair_splits(a.records, a.members, RATIOS)[0], "repaired")
+    count = lambda c, name: out.groupBy(F.col(c).alias("split")).agg(F.count(F.lit(1)).alias(name))
+    met = count("original_split", "before").join(count("repaired_split", "after"), "split", "full_outer")
+    return met.select("split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+
+
 def repair_leakage(spark, sf_dir):
     """Families over several target splits before the repair (a span, no evidence asked for)."""
     a = Audit(spark, sf_dir)
@@ -476,7 +496,7 @@ NAMES = (
     policy_variants, families, family_edge_counts, leakage_groups, leakage_boundary_counts, leakage_summary,
     semantic_reviews_cross_split, label_conflicts, conflict_counts, semantic_conflicts, split_statistics, class_histogram,
     largest_remainder_targets, split_size_error, jsd_by_split, objective_before, group_vectors_entropy, singleton_groups,
-    repair_assignments, repair_invariant, repair_leakage, moved_count, pair_metrics_exact, phash_threshold_sweep,
+    repair_assignments, repair_invariant, repair_results, repair_split_counts, repair_leakage, moved_count, pair_metrics_exact, phash_threshold_sweep,
     cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, labeled_pair_sweep_all,
     select_radius_held_out, fold_independence, accuracy_by_class,
     negative_controls, stratified_sample, snapshot_rows, unknown_id_guard, disjoint_family_guard, edge_order_guard,
