@@ -290,13 +290,13 @@ def singleton_groups(spark, sf_dir):
 
 def repair_assignments(spark, sf_dir):
     a = Audit(spark, sf_dir)
-    return B.repair_splits(a.records, a.members, RATIOS, iterations=25)[0]
+    return B.repair_splits(a.records, a.members, RATIOS)[0]
 
 
 def repair_invariant(spark, sf_dir):
     """Families that the repair divides (0) and records without an assignment (0)."""
     a = Audit(spark, sf_dir)
-    out, _ = B.repair_splits(a.records, a.members, RATIOS, iterations=25)
+    out, _ = B.repair_splits(a.records, a.members, RATIOS)
     out = materialise(out, "assignments")
     divided = out.groupBy("family_id").agg(F.min("repaired_split").alias("lo"), F.max("repaired_split").alias("hi"))
     divided = divided.agg(F.count_if(F.col("lo") != F.col("hi")).alias("divided_families"))
