@@ -549,5 +549,27 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in docs.collect()} == {i for i, _, _ in clean}
 
 
+def test_pipeline_decides_on_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    rng = random.Random(14)
+    prose = lambda: "\n".join(" ".join(f"k{rng.randint(0, 5000)}" for _ in range(12)) for _ in range(5))
+    own, twin, lone = prose(), prose(), prose()
+    leak = prose() + "\n" + item
+    rows = [
+        *[(i, prose()) for i in range(10, 30)], (1, own), (1, own), (None, own),  # a repeated row, and a copy without id
+        (2, twin), (2, "short"), (None, "short"), (3, leak), (3, lone), (None, leak), (None, prose()), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), DOCS)
+        left = Counter((r.doc_id, r.text) for r in docs.collect())
+        if name == "quality rules":
+            assert not left[2, "short"] and not left[None, "short"] and left[2, twin] == 1 and left[1, own] == 2
+    assert left == Counter([*rows[:20], (1, own), (2, twin), (3, lone), rows[-2]])
+
+
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
