@@ -193,6 +193,19 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.quality_rules(documents(spark, []), labels).count() == 0
 
 
+def test_quality_forest_is_fitted_on_few_labelled_rows(spark, monkeypatch):
+    fitted, grow = [], quality.IsolationForest.__init__
+    monkeypatch.setattr(quality.IsolationForest, "__init__", lambda self, fit, **k: fitted.append(len(fit)) or grow(self, fit, **k))
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(25, 90))), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert quality.quality_rules(documents(spark, rows), labels).count() == 60
+    one = quality.quality_rules(documents(spark, rows), labels.where("doc_id = 1")).collect()
+    assert len(one) == 60 and all(0 <= r.score <= 1 for r in one)
+    assert quality.quality_rules(documents(spark, rows), labels.where("false")).count() == 60
+    assert fitted == [20, 1, 60]
+
+
 def test_quality_held_out_accuracy(spark):
     from twinsieve.runtime import table
 

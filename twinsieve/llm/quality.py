@@ -185,8 +185,7 @@ def quality_rules(
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated 8-word windows.
     The forest is fitted on a bounded sample: the ``fit_rows`` labelled documents (of all
-    documents if there are fewer than ``rows_per_tree`` labelled ones) with the least id
-    hash. Statistics, scores and the threshold cover all rows: the threshold is
+    documents if none is labelled) that pass the base rules, with the least id hash. Statistics, scores and the threshold cover all rows: the threshold is
     ``calibrated`` on all labelled documents that pass the base rules, where the loss of
     a part of the good ones counts ``weight`` times as much as missing the same part of
     the bad ones. ``kept`` is true below it.
@@ -216,7 +215,7 @@ def quality_rules(
         return np.array([r[1:] for r in some.collect()], float).reshape(-1, len(FEATURES))
 
     fit = sample(labelled)
-    if len(fit) < rows_per_tree:
+    if not len(fit):
         fit = sample(stats)
     out = "id long, " + counts + ", score double"
     if len(fit):
