@@ -7,19 +7,32 @@ from pyspark.sql import functions as F
 
 from twinsieve.runtime import drop_materialised, materialise
 
+#: A node with more than this part of all edges is a hub: there are at most 2 * HUBS of them.
+HUBS = 400
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``u, v, m``: each edge with the least ``v`` of its ``u``. The rows of hubs, which are
+    few by their definition, meet a broadcast and are not shuffled to one task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = total / HUBS
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return others.unionByName(edges.join(hubs, "u"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link each node's larger neighbours to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    met = _with_least(both, 2 * total).where("v > u")
+    return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link each node's smaller neighbours, and itself, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    met = _with_least(edges, total)
+    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds: int = 100) -> DataFrame:
@@ -27,7 +40,8 @@ def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds:
 
     Ids may be of any orderable type. Edges with a null end and loops are ignored. Each
     round is a few keyed shuffles of the edges, written to the shared folder; the rounds
-    grow with the logarithm of the longest path. No task holds a whole component.
+    grow with the logarithm of the longest path. No task holds a whole component, and none
+    all edges of a hub.
     """
     now = materialise(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"), F.col(left), F.col(right))
@@ -36,15 +50,29 @@ def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds:
         .distinct(),
         "components",
     )
-    mark = None
+    total, mark = now.count(), None
     for _ in range(max_rounds):
-        stars = materialise(_small_star(_large_star(now)), "components")
+        pulled = materialise(_large_star(now, total), "components")
+        stars = materialise(_small_star(pulled, total), "components")
         drop_materialised(now)
+        drop_materialised(pulled)
         now = stars
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             )
-        mark = tuple(seen)
+        mark, total = seen, seen[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def merged_components(labels: DataFrame, links: DataFrame, left: str, right: str) -> DataFrame:
+    """``labels`` (``node, comp``) after further links: only the links between different
+    components are contracted. Nodes without a label are components of their own."""
+    known = lambda end, name: labels.select(F.col("node").alias(end), F.col("comp").alias(name))
+    ends = links.select(left, right).join(known(left, "c1"), left, "left").join(known(right, "c2"), right, "left")
+    ends = ends.select(F.coalesce("c1", left).alias("c1"), F.coalesce("c2", right).alias("c2")).where("c1 <> c2")
+    tops = connected_components(ends, "c1", "c2").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    fresh = tops.select(F.col("comp").alias("node")).join(labels.select("node"), "node", "left_anti")
+    every = labels.select("node", "comp").unionByName(fresh.select("node", F.col("node").alias("comp")))
+    return every.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
