@@ -14,11 +14,16 @@ def once(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def text_mark(text) -> F.Column:
+    """60 bits of the text's MD5: tells rows of one id apart."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def line_windows(docs: DataFrame, *, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """``id, begin, end, h1, h2``: each run of ``width`` consecutive non-blank lines.
+    """``id, mark, begin, end, h1, h2``: each run of ``width`` consecutive non-blank lines.
 
-    ``begin`` and ``end`` are line numbers (from 0, end included). A run is known by two
-    64-bit hashes of its lines, so that chance equality does not matter at 10^12 windows.
+    ``mark`` is the text's ``text_mark``; ``begin`` and ``end`` are line numbers (from 0, end included). A run is known by two 64-bit hashes of its
+    lines, so that chance equality does not matter at 10^12 windows.
     """
     lines = F.filter(
         F.transform(
@@ -45,39 +50,38 @@ def line_windows(docs: DataFrame, *, id_col: str, text_col: str, width: int = 3)
             ),
         )
 
-    return (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.explode(once(lines, runs)).alias("w"))
-        .select("id", "w.begin", "w.end", "w.h1", "w.h2")
-    )
+    return docs.select(
+        F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.explode(once(lines, runs)).alias("w")
+    ).select("id", "mark", "w.begin", "w.end", "w.h1", "w.h2")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """All rows and columns of ``docs`` with repeated line runs cut from ``text_col``, plus
     ``n_lines`` and ``n_removed``.
 
-    A window of ``width`` consecutive non-blank lines that stands earlier (by id, then line
-    number) anywhere in the table is a repeat; every line from a repeat's first to its last
-    goes. The first occurrence of a window stays, unless another repeat covers its lines.
+    A window of ``width`` consecutive non-blank lines that stands earlier (by id, then text
+    hash, then line number) anywhere in the table is a repeat; every line from a repeat's
+    first to its last goes. The first occurrence of a window stays, unless another repeat
+    covers its lines.
 
-    Null text stays null with 0 lines; empty text is one line; rows with a null id pass
-    unchanged; rows that share an id count as one document (a line that goes from one of
-    them goes from all). Columns named ``n_lines`` or ``n_removed`` are replaced.
+    Null text stays null with 0 lines; empty text is one line. Null ids come last. Rows of
+    one id with different texts are documents of their own; rows equal in id and text
+    are one document that stands several times and are cut alike. Columns named
+    ``n_lines`` or ``n_removed`` are replaced. An empty table gives an empty result.
 
-    Shuffles: 28 bytes a window twice (partially aggregated, then joined to the repeated
+    Shuffles: 36 bytes a window twice (partially aggregated, then joined to the repeated
     windows only, where AQE splits hot windows), and each text once to meet its cuts.
     """
     windows = line_windows(docs, id_col=id_col, text_col=text_col, width=width)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "begin")
     repeated = (
         windows.groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "begin")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("h1", "h2", "first")
     )
-    later = windows.join(repeated, ["h1", "h2"]).where(
-        (F.col("first.id") != F.col("id")) | (F.col("first.begin") != F.col("begin"))
-    )
-    cuts = later.groupBy(F.col("id").alias("__cut_id")).agg(
+    later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    cuts = later.groupBy(F.col("id").alias("__cut_id"), F.col("mark").alias("__cut_mark")).agg(
         F.flatten(F.collect_set(F.sequence("begin", "end"))).alias("__cut")
     )
     lines = F.split(F.col(text_col), "\n", -1)
@@ -88,7 +92,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     n_removed = F.when(F.col("__cut").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept))
-    return docs.join(cuts, F.col(id_col) == F.col("__cut_id"), "left").select(
+    mine = F.col(id_col).eqNullSafe(F.col("__cut_id")) & (text_mark(F.col(text_col)) == F.col("__cut_mark"))
+    return docs.join(cuts, mine, "left").select(
         *[(text if c == text_col else F.col(c)).alias(c) for c in columns],
         n_lines.cast("long").alias("n_lines"),
         n_removed.cast("long").alias("n_removed"),

@@ -12,26 +12,29 @@ def _quoted(text: str) -> str:
 
 
 OP1 = rf"""
-WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+WITH marked AS (
+  SELECT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS mark FROM documents),
+lines AS (
+  SELECT doc_id, mark, text, string_split(text, chr(10)) AS ls FROM marked),
 ink AS (
-  SELECT doc_id, ls, list_filter(range(0, len(ls)), lambda i: regexp_matches(ls[i + 1], '[^{WS}]')) AS pos FROM lines),
+  SELECT doc_id, mark, ls, list_filter(range(0, len(ls)), lambda i: regexp_matches(ls[i + 1], '[^{WS}]')) AS pos
+  FROM (SELECT DISTINCT doc_id, mark, ls FROM lines)),
 runs AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(pos) - 1), lambda k: {{
+  SELECT doc_id, mark, unnest(list_transform(range(1, len(pos) - 1), lambda k: {{
     'first': pos[k], 'last': pos[k + 2],
     'body': ls[pos[k] + 1] || chr(10) || ls[pos[k + 1] + 1] || chr(10) || ls[pos[k + 2] + 1]}})) AS w
-  FROM ink WHERE doc_id IS NOT NULL AND len(pos) >= 3),
+  FROM ink WHERE len(pos) >= 3),
 ranked AS (
-  SELECT doc_id, w, row_number() OVER (PARTITION BY w.body ORDER BY doc_id, w."first") AS rank FROM runs),
+  SELECT doc_id, mark, w, row_number() OVER (PARTITION BY w.body ORDER BY doc_id NULLS LAST, mark, w."first") AS rank FROM runs),
 cuts AS (
-  SELECT doc_id, list_distinct(flatten(list(range(w."first", w."last" + 1)))) AS cut
-  FROM ranked WHERE rank > 1 GROUP BY doc_id)
+  SELECT doc_id, mark, list_distinct(flatten(list(range(w."first", w."last" + 1)))) AS cut
+  FROM ranked WHERE rank > 1 GROUP BY doc_id, mark)
 SELECT l.doc_id,
   coalesce(len(ls), 0)::BIGINT AS n_lines,
   coalesce(len(cut), 0)::BIGINT AS n_removed,
   sha256(CASE WHEN cut IS NULL THEN text ELSE coalesce(array_to_string(list_transform(
     list_filter(range(0, len(ls)), lambda i: NOT list_contains(cut, i)), lambda i: ls[i + 1]), chr(10)), '') END) AS text_sha256
-FROM lines l LEFT JOIN cuts c ON l.doc_id = c.doc_id
+FROM lines l LEFT JOIN cuts c ON l.doc_id IS NOT DISTINCT FROM c.doc_id AND l.mark = c.mark
 """
 
 
