@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twinsieve.llm.words import U64, WordHashes, mix64, shingle_set
-from twinsieve.operators.components import connected_components
+from twinsieve.operators.components import connected_components, merged_components
 from twinsieve.runtime import drop_materialised, materialise, ship_package
 
 _STEP = 0x9E3779B97F4A7C15
@@ -138,49 +139,27 @@ def gram_batches(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[p
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["fam", "rep", "g"])
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 3,
-    percent: int = 85,
-    bands: int = 32,
-    rows: int = 6,
-) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` for each row of ``docs``.
+#: A family's rows are dealt over this many keys where they meet a row of their family.
+SALTS = 32
 
-    Two documents are linked if the intersection of their sets of ``width``-word shingles
-    (A-Z lower-cased) is at least ``percent`` % of the union; groups are the components of
-    the links, named by their least id, and ``kept`` marks the row of that id.
 
-    1. Each text gives a SuperMinHash signature of ``bands * rows`` slots and a digest of
-       its set. Equal sets are collapsed to their least id (map-side combined).
-    2. Buckets of equal bands: each member is checked against the bucket's least id, so the
-       pairs grow with the bucket's size and not its square. With the defaults a pair at
-       0.85 shares no bucket with odds of 3e-7, one at 0.9 with 1e-11.
-       What a family of buckets leaves in several components is then resolved exactly:
-       its core is the set of shingles that half of its members have. Each member is
-       checked against the member nearest to the core. Of the pairs that then still lie in
-       different components, two that share no shingle outside of the core (and are both
-       in it) can have at most the smaller core part in common; so only pairs that
-       share one, or whose core parts are large enough, are checked.
-    3. Every pair is confirmed on the full sets, from the whole texts.
-    4. Components by distributed star contraction.
+def _meet(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` joined on ``fam`` with ``few``, the smaller side, which is given to each deal:
+    no family of any size lies in one task."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    every = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, ["fam", "salt"]).drop("salt")
+
+
+def _label_sets(texts: DataFrame, signed: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """``d1, d2, top`` for each distinct set of ``signed`` that has a link or none: the least id
+    of its group. Ids are unique in ``texts`` (null ids have no part)."""
+    made = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(materialise(df, label))
+        return made[-1]
 
-    Null or empty texts have an empty set and are linked with nothing. Rows with a null id
-    are linked with nothing (``component_id`` null, ``kept`` true). Rows that share an id
-    are one document. An empty table gives an empty result. Other columns are not read.
-    """
-    ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(
-        texts.mapInArrow(
-            lambda it: sign_batches(it, width=width, bands=bands, rows=rows),
-            "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>",
-        ),
-        "near-signed",
-    )
     reps = materialise(
         signed.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy("d1", "d2")
@@ -188,48 +167,47 @@ def near_duplicates(
         "near-reps",
     )
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = materialise(spread.join(shared.select("bucket"), "bucket").select("bucket", "rep", "n"), "near-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    known = materialise(texts.join(wanted, "doc_id", "left_semi"), "near-texts")
+    hubs = spread.groupBy("bucket").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"), F.max("rep").alias("hi"))
+    stars = keep(
+        spread.join(hubs.where("a < hi"), "bucket").where("rep <> a")
+        .select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
+        .distinct(),
+        "near-stars",
+    )
+    members = keep(stars.select("a", "na").union(stars.select("b", "nb")).toDF("rep", "n").distinct(), "near-members")
+    known = keep(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "near-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        full = (
-            pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
+        """The linked ones of ``a, b``. Each pair carries one text to the other's, and
+        texts of hubs (``a``), which are fewer, are picked out first."""
+        halves = pairs.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        tops = known.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        full = halves.join(tops.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        return full.select("a", "b", "text_a", "text_b").mapInArrow(
+            lambda it: verify_batches(it, width=width, percent=percent), "a long, b long"
         )
-        return full.mapInArrow(lambda it: verify_batches(it, width=width, percent=percent), "a long, b long")
 
     # A pair's sizes alone can rule it out: the intersection is at most the smaller set.
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     # Enough in common: i / (x + y - i) >= percent / 100.
     enough = lambda i, x, y: (100 + percent) * i >= percent * (x + y)
 
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    stars = materialise(
-        members.join(hubs, "bucket")
-        .where(F.col("rep") != F.col("hub.rep"))
-        .select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-        .distinct(),
-        "near-stars",
-    )
-    families = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("comp").alias("fam"))
-    links = materialise(confirmed(stars.where(fits(F.col("na"), F.col("nb"))).select("a", "b")), "near-links")
+    families = keep(connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("comp").alias("fam")), "near-families")
+    links = keep(confirmed(stars.where(fits(F.col("na"), F.col("nb"))).select("a", "b")), "near-links")
+    labels = keep(connected_components(links, "a", "b"), "near-labels")
 
     def open_members() -> DataFrame:
         """``rep, n, fam, comp`` of the families that lie in several components so far."""
         placed = (
             families.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("comp", F.coalesce("comp", "rep"))
-            .join(members.select("rep", "n").distinct(), "rep")
+            .join(members, "rep")
         )
         split = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return materialise(placed.join(split.select("fam"), "fam").select("rep", "n", "fam", "comp"), "near-open")
+        return keep(_meet(placed, split.select("fam")).select("rep", "n", "fam", "comp"), "near-open")
 
-    labels = connected_components(links, "a", "b")
     unsettled = open_members()
-    grams = materialise(
+    grams = keep(
         unsettled.select("rep", "fam")
         .join(known.withColumnRenamed("doc_id", "rep"), "rep")
         .select("fam", "rep", "text")
@@ -237,17 +215,15 @@ def near_duplicates(
         "near-grams",
     )
     sizes = unsettled.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
-    often = materialise(
-        grams.groupBy("fam", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").join(sizes, "fam")
-        .select("fam", "g", (2 * F.col("df") >= F.col("k")).alias("core")),
-        "near-often",
+    counted = grams.groupBy("fam", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("g", "rep")
+    often = keep(
+        _meet(counted, sizes).select("fam", F.col("rep").alias("g"), "df", (2 * F.col("df") >= F.col("k")).alias("core")), "near-often"
     )
-    shared_grams = materialise(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "core"), "near-shared")
+    shared_grams = keep(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "df", "core"), "near-shared")
     parts = shared_grams.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.count_if("core").alias("c"))
-    cores = often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size"))
-    measured = materialise(
-        unsettled.select("rep", "n", "fam").join(parts, "rep").join(cores, "fam", "left")
-        .select("rep", "n", "fam", "m", "c", F.coalesce("core_size", F.lit(0)).alias("core_size")),
+    cores = sizes.select("fam").join(often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size")), "fam", "left")
+    measured = keep(
+        _meet(unsettled.select("rep", "n", "fam").join(parts, "rep"), cores.fillna(0)).select("rep", "n", "fam", "m", "c", "core_size"),
         "near-measured",
     )
     nearest = measured.groupBy("fam").agg(
@@ -255,45 +231,121 @@ def near_duplicates(
     )
     nearest = nearest.select("fam", (-F.col("hub.r")).alias("hub"), F.col("hub.n").alias("hub_n"))
     pairs = (
-        unsettled.join(nearest, "fam")
+        _meet(unsettled, nearest)
         .where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
+        .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     )
-    links = links.unionByName(materialise(confirmed(pairs), "near-links"))
-    labels = connected_components(links, "a", "b")
+    more = keep(confirmed(pairs), "near-links")
+    labels = keep(merged_components(labels, more, "a", "b"), "near-labels")
 
     # m counts what a member can have in common with any other at all, c its part of the core.
     left = open_members().join(measured.select("rep", "m", "c"), "rep")
-    left = materialise(left.where(100 * F.col("m") >= percent * F.col("n")), "near-left")
+    left = keep(left.where(100 * F.col("m") >= percent * F.col("n")), "near-left")
     able = 100 * F.col("c") >= percent * F.col("n")
-    side = lambda df, s: df.select("fam", *[F.col(x).alias(x + s) for x in ("rep", "n", "comp", "m", "c")])
     apart = F.col("comp1") != F.col("comp2")
+    renamed = lambda df, *keys: df.select(*keys, *[F.col(x).alias(x + "1") for x in ("rep", "n", "comp", "m", "c")])
+    second = lambda df, *keys: df.select(*keys, "rep", *[F.col(x).alias(x + "2") for x in ("n", "comp", "m", "c")])
     major = left.where(able).groupBy("fam", "comp").count().groupBy("fam").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    minor = left.where(able).join(major, "fam").where(F.col("comp") != F.col("main"))
-    in_core = side(minor, "1").join(side(left.where(able), "2"), "fam").where(
+    minor = _meet(left.where(able), major).where(F.col("comp") != F.col("main"))
+    in_core = _meet(second(left.where(able), "fam"), renamed(minor, "fam")).where(
         apart & enough(F.least("c1", "c2"), F.col("n1"), F.col("n2"))
     )
-    rest = shared_grams.where(~F.col("core")).select("rep", "g").join(left, "rep")
-    with_gram = lambda s: rest.select("fam", "g", *[F.col(x).alias(x + s) for x in ("rep", "n", "comp", "m")])
-    outside = with_gram("1").join(with_gram("2"), ["fam", "g"]).where(
-        (F.col("rep1") < F.col("rep2")) & apart & enough(F.least("m1", "m2"), F.col("n1"), F.col("n2"))
+    # Of two sets that reach the similarity, one of the shared grams is among the rarest of
+    # both (prefix filter): n - percent % of n + 1 of all, of which n - m are not shared at all.
+    floor = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "g"))
+    early = shared_grams.withColumn("place", rarest).where(~F.col("core")).select("rep", "g", "place").join(left, "rep")
+    early = early.where(F.col("place") <= F.col("m") - floor + 1)
+    outside = renamed(early, "fam", "g").join(second(early, "fam", "g"), ["fam", "g"]).where(
+        (F.col("rep1") < F.col("rep")) & apart & enough(F.least("m1", "m2"), F.col("n1"), F.col("n2"))
     )
-    ends = lambda df: df.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
-    pairs = materialise(ends(in_core).unionByName(ends(outside)).distinct(), "near-pairs")
+    ends = lambda df: df.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b"))
+    pairs = keep(ends(in_core).unionByName(ends(outside)).distinct(), "near-pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(materialise(confirmed(pairs), "near-links"))
-        labels = connected_components(links, "a", "b")
-    for done in (known, members, stars, unsettled, grams, often, shared_grams, measured, left, pairs):
+        labels = keep(merged_components(labels, keep(confirmed(pairs), "near-links"), "a", "b"), "near-labels")
+    tops = materialise(
+        reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("d1", "d2", F.coalesce("comp", "rep").alias("top")),
+        "near-tops",
+    )
+    for done in (reps, *made):
         drop_materialised(done)
-    tops = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("comp", "rep").alias("top")
-    )
+    return tops
+
+
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    percent: int = 85,
+    bands: int = 32,
+    rows: int = 6,
+) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Two documents are linked if the intersection of their sets of ``width``-word shingles
+    (A-Z lower-cased) is at least ``percent`` % of the union; groups are the components of
+    the links, named by their least id, and ``kept`` marks the row of that id.
+
+    1. Each text gives a SuperMinHash signature of ``bands * rows`` slots and a digest of
+       its set. Equal sets are collapsed to their least id (map-side combined).
+    2. Buckets of equal bands: each member is checked against the bucket's least id, so the
+       pairs grow with the bucket's size and not its square. With the defaults a pair at
+       0.85 shares no bucket with odds of 3e-7, one at 0.9 with 1e-11.
+       What a family of buckets leaves in several components is then resolved exactly:
+       its core is the set of shingles that half of its members have. Each member is
+       checked against the member nearest to the core. Of the pairs that then still lie in
+       different components, two that share no shingle outside of the core (and are both
+       in it) can have at most the smaller core part in common; so only pairs that share
+       one of their rarest, or whose core parts are large enough, are checked.
+    3. Every pair is confirmed on the full sets, from the whole texts.
+    4. Components by distributed star contraction.
+
+    Ids are integers (they are cast to long). Null or empty texts have an empty set and are
+    linked with nothing. Rows with a null id are linked with nothing (``component_id`` null,
+    ``kept`` true). Rows that share an id and have words are linked with each other: the
+    group of one is the group of all. If any id is repeated, the rows are first numbered in the
+    order of their ids (a sort of the texts) and the numbers stand for them. An empty table
+    gives an empty result. Other columns are not read.
+    """
+    ship_package(docs.sparkSession)
+
+    def signatures(rows_: DataFrame) -> DataFrame:
+        return materialise(
+            rows_.mapInArrow(
+                lambda it: sign_batches(it, width=width, bands=bands, rows=rows),
+                "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>",
+            ),
+            "near-signed",
+        )
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = texts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    numbered = None
+    if not repeated.isEmpty():
+        order = texts.withColumn("seq", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("doc_id"), "seq")
+        numbered = materialise(order.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text"), "near-rows")
+        texts = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("number")).alias("doc_id"), "text")
+    signed = signatures(texts)
+    tops = _label_sets(texts, signed, width=width, percent=percent)
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & F.col("doc_id").isNotNull()
-    component = F.coalesce("top", "doc_id")
-    return signed.join(tops, same, "left").select(
-        F.col("doc_id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    found = signed.join(tops.withColumnsRenamed({"d1": "e1", "d2": "e2"}), same, "left")
+    found = found.select("doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id"))
+    if numbered is not None:
+        found = materialise(found, "near-found")
+        own = numbered.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("own"))
+        placed = found.join(own, "doc_id")
+        firsts = placed.where("n_shingles > 0").groupBy("own").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k"))
+        links = placed.where("n_shingles > 0").join(firsts.where("k > 1").select("own", "a"), "own").where("doc_id <> a")
+        labels = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("component_id").alias("comp"))
+        labels = merged_components(labels, links.select("a", F.col("doc_id").alias("b")), "a", "b")
+        tops = own.toDF("comp", "component_id")
+        whole = labels.join(tops, "comp").join(own.toDF("node", "own"), "node").join(found.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+        without = found.where("doc_id IS NULL").select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long"))
+        found = whole.select("own", "n_shingles", "component_id").union(without).toDF("doc_id", "n_shingles", "component_id")
+    return found.select(
+        F.col("doc_id").alias(id_col), "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
