@@ -525,22 +525,60 @@ def test_decontamination(spark):
     frame = spark.createDataFrame([*items, (90, None), (91, "")], "item_id long, text string")
     got = decontamination.contaminated(documents(spark, rows), frame).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) >= 10
-    blocks = decontamination.contaminated(documents(spark, rows), frame, block_bytes=500).collect()
+    blocks = decontamination.contaminated(documents(spark, rows), frame, block_words=100).collect()
     assert {(r.doc_id, r.item_id) for r in blocks} == want
     assert decontamination.contaminated(documents(spark, rows), frame.where("false")).count() == 0
 
 
+def near_by_flips(group, print_, radius, masks):
+    """The search for large groups, whatever the size of this one."""
+    some = group.proposed(print_, masks)
+    distance = np.bitwise_count(group.prints[some] ^ print_).sum(axis=1)
+    return {int(group.members[x]) for x, d in zip(some, distance) if d <= radius}
+
+
 def test_multi_index_finds_all_prints_within_the_radius():
     rng = random.Random(12)
     items = [(i, " ".join(f"x{rng.randint(0, 99)}" for _ in range(20)).encode()) for i in range(50)]
+    for radius in (20, 31, 128):
+        with np.errstate(over="ignore"):
+            index = decontamination.ItemIndex(items, width=5, radius=radius)
+        group = index.groups[20]
+        for _ in range(60):
+            print_ = group.prints[rng.randrange(50)].copy()
+            for bit in rng.sample(range(128), rng.randint(0, 50)):
+                print_[bit // 16] ^= np.uint16(1 << bit % 16)
+            want = {i for i, p in enumerate(group.prints) if int(np.bitwise_count(p ^ print_).sum()) <= radius}
+            assert {i for _, i, _ in group.near(print_[None, :], radius, index.masks)} == want
+            if radius < 128:
+                assert near_by_flips(group, print_, radius, index.masks) == want
+
+
+def test_prints_propose_few_strangers_and_lose_next_to_no_borderline_window():
+    rng = random.Random(15)
+    items = [(i, [f"x{rng.randint(0, 9999)}" for _ in range(rng.randint(30, 60))]) for i in range(400)]
+    strangers = proposals = 0
+    found = Counter()
     with np.errstate(over="ignore"):
-        index = decontamination.ItemIndex(items, width=5, radius=20)
-    for _ in range(200):
-        print_ = index.prints[rng.randrange(50)]
-        for bit in rng.sample(range(64), rng.randint(0, 30)):
-            print_ ^= 1 << bit
-        want = {i for i, p in enumerate(index.prints) if (p ^ print_).bit_count() <= 20}
-        assert {i for i, _ in index.near(20, print_)} == want
+        index = decontamination.ItemIndex([(i, " ".join(w).encode()) for i, w in items], width=5, radius=31)
+        hashes = decontamination.WordHashes()
+        for group in index.groups.values():
+            for print_ in group.prints:
+                proposals += len(group.proposed(print_, index.masks)) - 1
+                strangers += len(group.members) - 1
+        for i, words in items:
+            for _ in range(40):
+                copy = words[:]
+                for _ in range(rng.choice([1, 1, 2])):  # edits near an end change few shingles
+                    copy[rng.choice([0, 1, 2, -1, -2, -3])] = "edit"
+                run = decontamination.shingles(hashes.of([w.encode() for w in copy]), 5)
+                similarity = decontamination.weighted_similarity(run, index.runs[i])
+                if 0.80 <= similarity <= 0.85:
+                    print_ = decontamination.simhash(run)[None, :]
+                    hit = any(x == i for _, x, _ in index.groups[len(copy)].near(print_, index.radius, index.masks))
+                    found[hit] += 1
+    assert strangers > 1000 and proposals / strangers < 0.10
+    assert found[True] > 2000 and found[False] <= 0.005 * found[True]
 
 
 # ---------------------------------------------------------------- pipeline
