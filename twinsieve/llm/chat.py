@@ -34,7 +34,8 @@ def format_preferences(
     whole. Rows with a null pair are left out; a null turn number stands last, a null role
     is ``unknown``, a null text empty. Several rows of one turn number count as one turn
     and are rendered each. If both conversations are equal, all is prompt. A pair in one
-    table only has an empty prompt. Other columns are not read.
+    table only has an empty prompt. Texts of any length are rendered whole. Empty tables
+    give no rows. Other columns are not read.
     """
 
     def turns(df: DataFrame, part: str) -> DataFrame:
@@ -47,13 +48,16 @@ def format_preferences(
         )
 
     every = turns(chosen, "chosen").unionByName(turns(rejected, "rejected"))
-    mark = F.xxhash64("role", "text").cast("decimal(38,0)")
-    sums = {}
+    # The turns of one number are known by a sum of digests: 120 bits, and their number.
+    digest = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    sums = []
     for part in ("chosen", "rejected"):
         mine = F.col("part") == part
-        sums[part] = F.sum(F.when(mine, mark)).alias(part), F.count(F.when(mine, True)).alias(f"n_{part}")
-    met = every.groupBy("pair", "turn").agg(*sums["chosen"], *sums["rejected"])
-    apart = ~F.col("chosen").eqNullSafe(F.col("rejected")) | (F.col("n_chosen") != F.col("n_rejected"))
+        marks = [F.sum(F.when(mine, half(at))).alias(f"m{at}") for at in (1, 16)]
+        sums.append(F.struct(F.count(F.when(mine, True)).alias("n"), *marks).alias(part))
+    met = every.groupBy("pair", "turn").agg(*sums)
+    apart = ~F.col("chosen").eqNullSafe(F.col("rejected"))
     fork = met.where(apart).groupBy("pair").agg(F.min("turn").alias("fork"))
     placed = every.join(fork, "pair", "left")
     shared = F.col("fork").isNull() | (F.col("turn") < F.col("fork"))
@@ -70,41 +74,51 @@ def format_preferences(
     )
 
 
-def swapped_endings(turns: DataFrame, *, role: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected tables from plain conversations (``conv_id, turn, role, text``).
+def forked_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected tables from plain conversations (``conv_id, turn, role, text``),
+    which have no preference labels.
 
-    Chosen is each conversation up to its last turn of ``role``; rejected is the same with
-    that turn taken from its neighbour (the conversation whose id differs in the last bit),
-    or without it if the neighbour has none.
+    Chosen is each conversation. Rejected is the same up to a fork, and from the fork on the
+    turns of its neighbour (the conversation whose id differs in the last bit; none if there
+    is no such conversation). The fork is the id modulo the last turn number + 2, so it
+    stands anywhere from the first turn to behind the last. A null turn number stands last.
+    Rows with a null ``conv_id`` are left out; every other turn is in both tables or forked.
     """
-    cols = ["conv_id", "turn", "role", "text"]
-    turns = turns.select(*cols).where("conv_id IS NOT NULL")
-    ends = turns.where(F.col("role") == role).groupBy("conv_id").agg(F.max("turn").alias("end"))
-    bounded = turns.join(ends, "conv_id")
-    pair = F.col("conv_id").alias("pair_id")
-    chosen = bounded.where(F.col("turn") <= F.col("end")).select(pair, *cols[1:])
-    final = bounded.where((F.col("turn") == F.col("end")) & (F.col("role") == role)).select(
-        F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "role", "text"
-    )
-    swapped = final.join(ends, "conv_id").select(pair, F.col("end").alias("turn"), "role", "text")
-    kept = bounded.where(F.col("turn") < F.col("end")).select(pair, *cols[1:])
-    return chosen, kept.unionByName(swapped)
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
+    turns = turns.where("conv_id IS NOT NULL").select("conv_id", at.alias("turn"), "role", "text")
+    last = F.coalesce(F.max(F.when(F.col("turn") < LAST, F.col("turn"))), F.lit(-1))
+    forks = turns.groupBy("conv_id").agg(last.alias("last"))
+    forks = forks.select("conv_id", F.pmod(F.col("conv_id"), F.greatest(F.col("last"), F.lit(-1)) + 2).alias("fork"))
+    cols = F.col("conv_id").alias("pair_id"), F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "text"
+    own = turns.join(forks, "conv_id").where("turn < fork")
+    other = turns.withColumn("conv_id", F.col("conv_id").bitwiseXOR(F.lit(1))).join(forks, "conv_id").where("turn >= fork")
+    return turns.select(*cols), own.select(*cols).unionByName(other.select(*cols))
 
 
-def whole_endings(turns: DataFrame, *, role: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """As ``swapped_endings``, but with every turn of every conversation.
+def assemble_pairs(formatted: DataFrame, *, pair_col: str = "pair_id", turn_col: str = "turn") -> DataFrame:
+    """``pair_col, prompt, chosen, rejected, chosen_spans, rejected_spans`` from the rows of
+    ``format_preferences``: a row per pair with the prompt once and both completions.
 
-    The turns after the last one of ``role`` stand on both sides, so do null turn numbers
-    (last, as in ``format_preferences``). A conversation without a turn of ``role`` is the
-    same on both sides: all of it is prompt. Rows with a null ``conv_id`` are left out.
+    Spans (``array<struct<begin,end>>``, characters, end exclusive) say which parts of a
+    completion are trained on; all else is masked. A missing part is an empty string. A pair
+    becomes one row here, so its conversations must fit a row, as documents do; the rows
+    of ``format_preferences`` are the form for conversations that do not.
     """
-    at = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
-    turns = turns.where("conv_id IS NOT NULL").select("conv_id", at.alias("turn"), "role", "text")
-    mine = F.coalesce(F.col("role") == role, F.lit(False))
-    ends = turns.where(mine).groupBy("conv_id").agg(F.max("turn").alias("end"))
-    met = turns.join(ends, "conv_id", "left")
-    last = mine & F.coalesce(F.col("turn") == F.col("end"), F.lit(False))
-    cols = F.col("conv_id").alias("pair_id"), F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "text"
-    final = met.where(last).select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "role", "text")
-    swapped = final.join(ends.withColumnRenamed("end", "turn"), "conv_id")
-    return met.select(*cols), met.where(~last).select(*cols).unionByName(swapped.select(*cols))
+    parts = ("prompt", "chosen", "rejected")
+    item = F.struct(F.coalesce(F.col(turn_col), F.lit(LAST)).alias("t"), "rendered", F.coalesce("train_from", F.lit(-1)).alias("f"))
+    rows = formatted.groupBy(pair_col).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("part") == p, item))).alias(p) for p in parts]
+    )
+
+    def spans(turns):
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
+
+        def step(acc, turn):
+            end = acc["at"] + F.length(turn["rendered"])
+            mine = F.struct((acc["at"] + turn["f"]).alias("begin"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(turn["f"] >= 0, F.array_append(acc["out"], mine)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(turns, begin, step)["out"]
+
+    text = lambda p: F.array_join(F.transform(F.col(p), lambda t: t["rendered"]), "").alias(p)
+    return rows.select(pair_col, *[text(p) for p in parts], *[spans(F.col(p)).alias(f"{p}_spans") for p in parts[1:]])

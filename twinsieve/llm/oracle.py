@@ -39,23 +39,28 @@ FROM lines l LEFT JOIN cuts c ON l.doc_id IS NOT DISTINCT FROM c.doc_id AND l.ma
 
 
 OP2 = """
-WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-ends AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-bounded AS (SELECT t.*, last FROM t JOIN ends USING (conv_id)),
-final AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM bounded WHERE turn = last AND role = 'assistant'),
-chosen AS (SELECT conv_id AS pair_id, turn, role, text FROM bounded WHERE turn <= last),
+WITH t AS (
+  SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+forks AS (
+  SELECT conv_id, (conv_id % w + w) % w AS fork
+  FROM (SELECT conv_id, coalesce(max(turn) FILTER (WHERE turn < 9223372036854775807), -1) + 2 AS w FROM t GROUP BY conv_id)),
+chosen AS (SELECT conv_id AS pair_id, turn, role, text FROM t),
 rejected AS (
-  SELECT conv_id AS pair_id, turn, role, text FROM bounded WHERE turn < last
-  UNION ALL SELECT e.conv_id, e.last, f.role, f.text FROM final f JOIN ends e USING (conv_id)),
-fork AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.turn, r.turn)) AS fork
-  FROM chosen c FULL JOIN rejected r ON c.pair_id = r.pair_id AND c.turn = r.turn
-  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+  SELECT conv_id AS pair_id, turn, role, text FROM t JOIN forks USING (conv_id) WHERE turn < fork
+  UNION ALL SELECT f.conv_id, turn, role, text FROM forks f JOIN t ON xor(t.conv_id, 1) = f.conv_id WHERE turn >= fork),
+met AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.l IS NOT DISTINCT FROM r.l AS same
+  FROM (SELECT pair_id, turn, list_sort(list({'r': role, 't': text})) AS l FROM chosen GROUP BY ALL) c
+  FULL JOIN (SELECT pair_id, turn, list_sort(list({'r': role, 't': text})) AS l FROM rejected GROUP BY ALL) r
+    ON c.pair_id = r.pair_id AND c.turn = r.turn),
+fork AS (SELECT pair_id, min(turn) AS fork FROM met WHERE NOT same GROUP BY 1),
 every AS (SELECT *, 'chosen' AS part FROM chosen UNION ALL SELECT *, 'rejected' AS part FROM rejected),
 placed AS (SELECT every.*, fork IS NULL OR turn < fork AS shared FROM every LEFT JOIN fork USING (pair_id)),
 shown AS (
-  SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE part END AS part, turn, role, NOT shared AND role = 'assistant' AS trained,
-    '<|' || role || '|>' || chr(10) AS header, text FROM placed WHERE NOT shared OR part = 'chosen')
+  SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE part END AS part, nullif(turn, 9223372036854775807) AS turn, role,
+    NOT shared AND role = 'assistant' AS trained, '<|' || role || '|>' || chr(10) AS header, text
+  FROM placed WHERE NOT shared OR part = 'chosen')
 SELECT pair_id, part, turn, role, trained, CASE WHEN trained THEN length(header) END::INTEGER AS train_from,
   length(header || text || '<|end|>' || chr(10))::INTEGER AS n_chars, sha256(header || text || '<|end|>' || chr(10)) AS sha256
 FROM shown

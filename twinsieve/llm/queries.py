@@ -27,17 +27,8 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_chat_format(spark, sf_dir):
-    """Conversations up to their last assistant turn, as its SQL has them."""
-    return _formatted(*chat.swapped_endings(table(spark, sf_dir, "conversations")))
-
-
-def op2_chat_format_whole(spark, sf_dir):
-    """All turns of all conversations."""
-    return _formatted(*chat.whole_endings(table(spark, sf_dir, "conversations")))
-
-
-def _formatted(chosen, rejected):
-    out = chat.format_preferences(chosen, rejected)
+    """Every turn of every conversation, against the same conversation forked to its neighbour."""
+    out = chat.format_preferences(*chat.forked_pairs(table(spark, sf_dir, "conversations")))
     digest = F.sha2(F.col("rendered"), 256).alias("sha256")
     return out.select("pair_id", "part", "turn", "role", "trained", "train_from", F.length("rendered").alias("n_chars"), digest)
 
@@ -75,6 +66,7 @@ def op7_personal_data(spark, sf_dir):
         *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.RULES)],
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.concat("base", "found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )
 
 
@@ -101,7 +93,6 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
-    "op2_chat_format_whole": op2_chat_format_whole,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
