@@ -46,26 +46,30 @@ def hard_rows():
 
 
 def brute_lines(rows, width=3):
+    """By (id, text): the text that is left."""
+    mark = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
     seen, cuts = {}, {}
-    for i, text in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+    known = {(i, t) for i, t in rows if t is not None}
+    for i, text in sorted(known, key=lambda r: (r[0] is None, r[0] or 0, mark(r[1]))):
         lines = text.split("\n")
         ink = [k for k, line in enumerate(lines) if WORD.search(line)]
         for k in range(len(ink) - width + 1):
             run = tuple(lines[j] for j in ink[k : k + width])
-            if seen.setdefault(run, (i, ink[k])) != (i, ink[k]):
-                cuts.setdefault(i, set()).update(range(ink[k], ink[k + width - 1] + 1))
+            if seen.setdefault(run, (i, text, ink[k])) != (i, text, ink[k]):
+                cuts.setdefault((i, text), set()).update(range(ink[k], ink[k + width - 1] + 1))
     return {
-        i: "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cuts.get(i, ()))
-        for i, text in rows
-        if i is not None and text is not None
+        (i, text): "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cuts.get((i, text), ())) for i, text in known
     }
 
 
 def test_line_dedup(spark):
     rng = random.Random(1)
-    rows = [(i, "\n".join(rng.choice(["aa", "bb", "cc", "", "dd ee"]) for _ in range(rng.randint(0, 12))), "s") for i in range(60)]
-    out = line_dedup.dedup_lines(documents(spark, rows))
-    assert {r.doc_id: r.text for r in out.collect()} == brute_lines([r[:2] for r in rows])
+    some = lambda: "\n".join(rng.choice(["aa", "bb", "cc", "", "dd ee"]) for _ in range(rng.randint(0, 12)))
+    rows = [(i if i % 9 else None, some(), "s") for i in range(60)] + [(i // 3, some(), "s") for i in range(30)]
+    rows += rows[:4]  # rows that stand twice
+    docs = documents(spark, rows).withColumn("was", F.col("text"))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.was): r.text for r in got} == brute_lines([r[:2] for r in rows])
     hard = line_dedup.dedup_lines(documents(spark, hard_rows())).collect()
     assert len(hard) == len(hard_rows())
     by_id = {r.doc_id: r for r in hard}
@@ -74,6 +78,12 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_never_cuts_lines_of_a_namesake(spark):
+    rows = [(1, "a\nb\nc", "s"), (2, "x\ny\nz\nq", "s"), (2, "a\nb\nc\nd", "s")]
+    left = sorted(r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect())
+    assert left == ["a\nb\nc", "d", "x\ny\nz\nq"]
+
+
 # ---------------------------------------------------------------- chat
 
 
@@ -91,21 +101,66 @@ def test_chat_format(spark):
     assert chat.format_preferences(frame([]), frame([])).count() == 0
 
 
-def test_whole_endings_keep_every_turn(spark):
-    turns = [
-        (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks"), (2, None, "user", "late"),  # trailing turns
-        (3, 0, "user", "yo"), (3, 1, "assistant", "b"),
-        (4, 0, "user", "alone"), (4, 1, None, "x"), (6, 0, "user", "q"), (6, 1, "assistant", "c"),  # no assistant, no neighbour
-        (8, None, "assistant", "n"), (9, 5, "assistant", "m"), (None, 0, "user", "no id"),
-    ]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    out = chat.format_preferences(*chat.whole_endings(df)).collect()
-    body = lambda r: r.rendered.split("|>\n", 1)[1].removesuffix("<|end|>\n")
-    chosen = sorted((r.pair_id, body(r)) for r in out if r.part != "rejected")
-    assert chosen == sorted((c, t) for c, _, _, t in turns if c is not None)
-    rejected = sorted((r.pair_id, r.turn if r.turn is not None else -1, body(r)) for r in out if r.part == "rejected")
-    assert rejected == [(2, -1, "late"), (2, 1, "b"), (2, 2, "thanks"), (3, 1, "a"), (8, -1, "m"), (9, 5, "n")]
-    assert {r.part for r in out if r.pair_id == 4} == {"prompt"} and {r.part for r in out if r.pair_id == 6} == {"prompt", "chosen"}
+TURNS = [
+    (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks"), (2, None, "user", "late"),
+    (3, 0, "user", "yo"), (3, 1, "assistant", "b"), (3, 2, "user", "thanks"), (3, 2, "user", "thanks"),  # a repeated turn row
+    (4, 0, "user", "alone"), (4, 1, None, "x"), (6, 0, "user", "q"), (6, 1, "assistant", "c" * 50_000),
+    (8, None, "assistant", "n"), (9, 5, "assistant", "m"), (None, 0, "user", "no id"), (12, 0, "", ""), (13, 0, None, None),
+]
+
+
+def brute_forks(turns):
+    """pair -> (chosen, rejected), lists of (turn, role, text) with null turns last."""
+    last = 1 << 63
+    convs = {}
+    for c, n, role, text in turns:
+        if c is not None:
+            convs.setdefault(c, []).append((last if n is None else n, role or ("unknown" if role is None else ""), text or ""))
+    out = {}
+    for c, own in convs.items():
+        fork = c % (max([n for n, *_ in own if n < last], default=-1) + 2)
+        out[c] = own, [t for t in own if t[0] < fork] + [t for t in convs.get(c ^ 1, ()) if t[0] >= fork]
+    return out
+
+
+def brute_format(pairs):
+    rows = []
+    for c, (chosen, rejected) in pairs.items():
+        numbers = {n for n, *_ in chosen + rejected}
+        apart = [n for n in numbers if Counter(t for t in chosen if t[0] == n) != Counter(t for t in rejected if t[0] == n)]
+        fork = min(apart, default=1 << 64)
+        for part, turns in (("chosen", chosen), ("rejected", rejected)):
+            for n, role, text in turns:
+                if n >= fork or part == "chosen":
+                    rows.append((c, part if n >= fork else "prompt", n, role, f"<|{role}|>\n{text}<|end|>\n", n >= fork and role == "assistant"))
+    return Counter(rows)
+
+
+def test_forked_pairs_by_brute_force(spark):
+    rng = random.Random(16)
+    turns = TURNS + [(c, n, rng.choice(["user", "assistant"]), rng.choice("xyz")) for c in range(20, 60) for n in range(rng.randint(1, 6))]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, part int")
+    got = chat.format_preferences(*chat.forked_pairs(df)).collect()
+    want = brute_format(brute_forks(turns))
+    assert Counter((r.pair_id, r.part, (1 << 63) if r.turn is None else r.turn, r.role, r.rendered, r.trained) for r in got) == want
+    lengths = Counter(sum(k[1] == "prompt" for k in want if k[0] == c) for c in range(20, 60))
+    assert len(lengths) > 2  # prompts of several lengths, found by the search
+    assert chat.format_preferences(*chat.forked_pairs(df.where("false"))).count() == 0
+
+
+def test_assembled_pairs(spark):
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_preferences(*chat.forked_pairs(df))
+    rows = brute_format(brute_forks(TURNS))
+    out = {r.pair_id: r for r in chat.assemble_pairs(formatted).collect()}
+    assert set(out) == {k[0] for k in rows}
+    for c, r in out.items():
+        for part in ("prompt", "chosen", "rejected"):
+            mine = sorted(k[2:] for k in rows.elements() if k[0] == c and k[1] == part)
+            assert r[part] == "".join(k[2] for k in mine)
+            if part != "prompt":
+                trained = [(s.begin, s.end) for s in r[f"{part}_spans"]]
+                assert [r[part][b:e] for b, e in trained] == [k[2].split("|>\n", 1)[1] for k in mine if k[3]]
 
 
 # ---------------------------------------------------------------- token counts
@@ -187,7 +242,9 @@ def test_quality_counts_and_verdicts(spark):
         counts = tuple(r[c] for c in quality.COUNTS)
         assert counts == brute_counts(text)
         assert r.base_failed == (counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
-        assert r.kept == (r.doc_id < 1000 or (not r.base_failed and r.doc_id >= 2000 and r.kept))
+        bin_ = int(r.score * quality.BINS)
+        assert r.kept == (not r.base_failed and bin_ < r.threshold * quality.BINS - 0.5)
+        assert r.doc_id >= 2000 or r.kept == (r.doc_id < 1000)
     none = quality.quality_rules(documents(spark, good[:5]), labels.where("false")).collect()
     assert all(r.kept and r.threshold is None for r in none)
     assert quality.quality_rules(documents(spark, []), labels).count() == 0
@@ -203,7 +260,42 @@ def test_quality_forest_is_fitted_on_few_labelled_rows(spark, monkeypatch):
     one = quality.quality_rules(documents(spark, rows), labels.where("doc_id = 1")).collect()
     assert len(one) == 60 and all(0 <= r.score <= 1 for r in one)
     assert quality.quality_rules(documents(spark, rows), labels.where("false")).count() == 60
-    assert fitted == [20, 1, 60]
+    assert fitted == [20, 1]  # without labels there is no forest, and the base rules alone decide
+
+
+def test_forest_scores_by_brute_force():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(300, 4))
+    rows[:, 3] = 0
+    rows[:6, 1] += 40
+    forest = quality.IsolationForest(rows, trees=25, rows_per_tree=64, seed=3)
+    assert forest.size == 64 and len(forest.trees) == 25
+
+    def path(tree, row):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left" if row[tree["feature"][at]] <= tree["cut"][at] else "right"][at]
+        return tree["path"][at]
+
+    usual = 2 * (sum(1 / i for i in range(1, 64)) - 63 / 64)  # with the harmonic number itself
+    scores = forest.scores(rows)
+    for row, score in zip(rows, scores):
+        mean = sum(path(t, row) for t in forest.trees) / 25
+        assert score == pytest.approx(2 ** (-mean / forest.usual_path(64))) and abs(forest.usual_path(64) - usual) < 0.02
+    assert set(np.argsort(-scores)[:6]) == set(range(6))  # the planted outliers score highest
+    for t in forest.trees:
+        assert not (t["feature"] == 3).any()  # a feature without spread is never split
+
+
+def test_calibrated_threshold_by_brute_force():
+    rng = random.Random(17)
+    for _ in range(20):
+        good = Counter(rng.randint(4000, 4300) for _ in range(200))
+        bad = Counter(rng.randint(4200, 4600) for _ in range(30))
+        cost = lambda cut: 20 * sum(n for b, n in good.items() if b >= cut) / 200 + sum(n for b, n in bad.items() if b < cut) / 30
+        cut = round(quality.calibrated(good, bad, weight=20) * quality.BINS)
+        assert cost(cut) == pytest.approx(min(cost(c) for c in range(3900, 4700)))
+    assert quality.calibrated({}, {3: 1}, weight=20) is None and quality.calibrated({3: 1}, {}, weight=20) == 4 / quality.BINS
 
 
 def test_quality_held_out_accuracy(spark):
@@ -474,6 +566,27 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_link_the_sets_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, a, "s"), (7, a, "s"), (7, b, "s"), (9, b, "s"), (9, b, "s"), (11, None, "s"), (11, "x y", "s"), (None, a, "s"), (12, None, "s")]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in near_dedup.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(-1, 38, -1), (3, 38, 3), (7, 38, 3), (7, 38, 3), (9, 38, 3), (9, 38, 3), (11, 0, 11), (11, 1, 11), (12, 0, 12)]
+
+
+def test_banding_misses_no_pair_just_above_the_similarity(spark):
+    rng = random.Random(18)
+    rows = []
+    for g in range(1500):
+        words = [f"g{g}w{i}" for i in range(60)]
+        copy = words[:]
+        copy[rng.choice([0, 59])] = "other"  # 57 of 59 shingles
+        for at in rng.sample([12, 30, 47], 1):
+            copy[at] = "changed"  # 54 of 62: 87 %
+        rows += [(2 * g, " ".join(words), "s"), (2 * g + 1, " ".join(copy), "s")]
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert sum(r.component_id != r.doc_id // 2 * 2 for r in got) == 0
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     with np.errstate(over="ignore"):

@@ -73,30 +73,34 @@ def _op5() -> str:
         f"({i}, {_quoted(name)}, {_quoted(lic)}, {_quoted(kind)}, {_quoted(',' + ','.join(seq) + ',')})"
         for i, (name, lic, kind, seq) in enumerate(licenses.RULES)
     )
+    flat = "lower(coalesce(text, ''))"
+    for pattern, new in licenses.STEPS:
+        if "(?=" in pattern:  # no look-ahead here: the blank is matched and put back
+            pattern, new = pattern.replace("(?=", "("), new + r"\1"
+        flat = f"regexp_replace({flat}, {_quoted(pattern)}, {_quoted(new.replace('$0', chr(92) + '0'))}, 'g')"
+    longest = sorted(licenses.SENTENCES.values(), key=lambda x: (-len(x), x))
+    any_known = "|".join(x.replace(" ", r"(?: |\|\|)") for x in longest)
     return rf"""
 WITH known(body, name) AS (VALUES {pairs}),
 rule(place, rule, license, kind, seq) AS (VALUES {rules}),
-cut AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{licenses.SENTENCE_END}', '\1' || chr(10), 'g'), chr(10)) AS ss
-  FROM documents),
-sentence AS (
-  SELECT doc_id, i, trim(regexp_replace(lower(ss[i]), '[^a-z0-9]+', ' ', 'g')) AS body
-  FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM cut)),
-ids AS (
-  SELECT doc_id, string_agg(name, ',' ORDER BY i) AS sentence_ids
-  FROM sentence JOIN known USING (body) GROUP BY doc_id),
+flat AS (SELECT row_number() OVER () AS nr, doc_id, {flat} AS body FROM documents),
+found AS (
+  SELECT nr, doc_id, list_transform(regexp_extract_all('|' || replace(trim(body), '|', '||') || '|', '\|({any_known})\|', 1),
+    lambda x: replace(x, '||', ' ')) AS ss FROM flat),
+sentence AS (SELECT nr, i, ss[i] AS body FROM (SELECT nr, ss, unnest(range(1, len(ss) + 1)) AS i FROM found)),
+ids AS (SELECT nr, string_agg(name, ',' ORDER BY i) AS sentence_ids FROM sentence JOIN known USING (body) GROUP BY nr),
 hit AS (
-  SELECT doc_id, place, rule, license, kind FROM ids JOIN rule ON contains(',' || sentence_ids || ',', seq)),
-lic AS (SELECT doc_id, license, min(place) AS place FROM hit GROUP BY doc_id, license),
-lics AS (SELECT doc_id, string_agg(license, ',' ORDER BY place) AS licenses FROM lic GROUP BY doc_id),
+  SELECT nr, place, rule, license, kind FROM ids JOIN rule ON contains(',' || sentence_ids || ',', seq)),
+lic AS (SELECT nr, license, min(place) AS place FROM hit GROUP BY nr, license),
+lics AS (SELECT nr, string_agg(license, ',' ORDER BY place) AS licenses FROM lic GROUP BY nr),
 per AS (
-  SELECT doc_id, string_agg(rule, ',' ORDER BY place) AS rules,
+  SELECT nr, string_agg(rule, ',' ORDER BY place) AS rules,
     max(CASE kind WHEN 'restricted' THEN 3 WHEN 'copyleft' THEN 2 ELSE 1 END) AS strict
-  FROM hit GROUP BY doc_id)
+  FROM hit GROUP BY nr)
 SELECT d.doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules,
   coalesce(licenses, '') AS licenses,
   CASE strict WHEN 3 THEN 'restricted' WHEN 2 THEN 'copyleft' WHEN 1 THEN 'permissive' END AS license_class
-FROM documents d LEFT JOIN ids USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN lics USING (doc_id)
+FROM flat d LEFT JOIN ids USING (nr) LEFT JOIN per USING (nr) LEFT JOIN lics USING (nr)
 """
 
 
