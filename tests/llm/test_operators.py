@@ -360,9 +360,64 @@ GPL = [
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
     " of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 ]
+BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission."
+)
+BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+TERMS = (
+    "This %s is free software%s you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free"
+    " Software Foundation%s either version %s of the License, or (at your option) any later version."
+)
+HOPE = (
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
+    " of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+CC = "This work is licensed under a Creative Commons Attribution%s 4.0 International License."
 NOTICES = {
-    "apache2-header": APACHE, "apache2-short": APACHE[:1], "mit-text": MIT, "bsd-3-text": BSD, "isc-text": ISC,
+    "apache2-header": APACHE, "apache2-short": APACHE[:1], "mit-text": MIT, "bsd-text": BSD, "isc-text": ISC,
+    "bsd-3-text": [*BSD, BSD_NAMES, BSD_AS_IS], "bsd-2-text": [*BSD, BSD_AS_IS],
     "gpl3-text": [GPL[0] % (":", ",", 3), GPL[1]], "gpl2-text": [GPL[0] % (";", ";", 2), GPL[1]],
+    "gpl2-only-text": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " version 2 as published by the Free Software Foundation.", GPL[1],
+    ],
+    "agpl3-text": [TERMS % ("program", ":", "Affero General Public License", ",", 3), GPL[1]],
+    "lgpl21-text": [TERMS % ("library", ";", "Lesser General Public License", ";", 2.1), HOPE],
+    "lgpl3-text": [TERMS % ("library", ":", "Lesser General Public License", ",", 3), HOPE],
+    "0bsd-text": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "zlib-text": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"
+        " and redistribute it freely, subject to the following restrictions:",
+    ],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+    "unlicense-text": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a"
+        " compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "cc0-text": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this"
+        " software to the public domain worldwide."
+    ],
+    "wtfpl-text": [
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"
+        " as long as the name is changed."
+    ],
+    "perl-notice": ["This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself."],
+    "artistic2-notice": ["Licensed under the Artistic License 2.0."],
+    "epl2-text": [EPL + "2.0 which is available at", "https://www.eclipse.org/legal/epl-2.0/"],
+    "epl1-text": [EPL + "v1.0 which accompanies this distribution, and is available at", "http://www.eclipse.org/legal/epl-v10.html"],
+    "ccby4-text": [CC % ""], "ccbysa4-text": [CC % "-ShareAlike"], "ccbync4-text": [CC % "-NonCommercial"],
+    "ccbynd4-text": [CC % "-NoDerivatives"], "ccbyncsa4-text": [CC % "-NonCommercial-ShareAlike"],
+    "ccbyncnd4-text": [CC % "-NonCommercial-NoDerivatives"],
+    "no-copying-notice": ["Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "proprietary-notice": ["Proprietary and confidential."],
     "apache2-notice": ["Licensed under the Apache License, Version 2.0."],
     "mit-notice": ["Released under the MIT License."], "mit-notice-2": ["Licensed under the MIT License."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3."],
@@ -374,16 +429,18 @@ NOTICES = {
 
 
 def test_license_rules_fire_on_their_official_texts_in_any_layout(spark):
-    assert set(NOTICES) == {r[0] for r in licenses.RULES}
+    lines = {r[0]: [f"SPDX-License-Identifier: {r[1]}"] for r in licenses.RULES if r[0].startswith("spdx-")}
+    assert set(NOTICES) | set(lines) == {r[0] for r in licenses.RULES} and len(lines) > 20
+    assert all(re.search(licenses.HINT, x) for x in licenses.SENTENCES.values())
     rows, want = [], []
-    for rule, parts in NOTICES.items():
+    for rule, parts in (NOTICES | lines).items():
         whole = ["Copyright 2020 Somebody.", *parts, "More text follows"]
-        layouts = ["\n\n".join(whole), " ".join(whole)]
+        layouts = ["\n\n".join(whole)] + [" ".join(whole)] * (rule not in lines)  # an identifier ends with its line
         for width in (30, 72, 80):
-            lines = [textwrap.wrap(p, width) for p in whole]
+            wrapped = [textwrap.wrap(p, width) for p in whole]
             for sign, blank in (("", ""), (" * ", " *"), ("# ", "#"), ("// ", "//"), ("; ", ";"), ("! ", "!")):
                 for end in ("\n", "\r\n"):
-                    layouts.append(f"{end}{blank}{end}".join(end.join(sign + x for x in part) for part in lines))
+                    layouts.append(f"{end}{blank}{end}".join(end.join(sign + x for x in part) for part in wrapped))
         rows += [(len(rows) + k, text, "s") for k, text in enumerate(layouts)]
         want += [(rule, text) for text in layouts]
     got = {r.doc_id: r.rules for r in licenses.scan_licenses(documents(spark, rows)).collect()}

@@ -178,11 +178,12 @@ def _label_sets(texts: DataFrame, signed: DataFrame, *, width: int, percent: int
     known = keep(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "near-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The linked ones of ``a, b``. Each pair carries one text to the other's, and
-        texts of hubs (``a``), which are fewer, are picked out first."""
-        halves = pairs.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        tops = known.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        full = halves.join(tops.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        """The linked ones of ``a, b``. A pair carries the text of ``b`` to that of ``a``, of
+        which each deal of its pairs has a copy, so that a hub's pairs lie in many tasks."""
+        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        halves = dealt.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        tops = known.join(dealt.select(F.col("a").alias("doc_id"), "salt").distinct(), "doc_id")
+        full = halves.join(tops.select(F.col("doc_id").alias("a"), "salt", F.col("text").alias("text_a")), ["a", "salt"])
         return full.select("a", "b", "text_a", "text_b").mapInArrow(
             lambda it: verify_batches(it, width=width, percent=percent), "a long, b long"
         )

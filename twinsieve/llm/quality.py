@@ -177,8 +177,8 @@ def quality_rules(
     text_col: str = "text",
     quality_col: str = "quality",
     fit_rows: int = 4096,
-    trees: int = 150,
-    rows_per_tree: int = 64,
+    trees: int = 200,
+    rows_per_tree: int = 32,
     weight: float = 20.0,
     seed: int = 20,
 ) -> DataFrame:
