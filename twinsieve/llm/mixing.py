@@ -105,20 +105,23 @@ def mix_sources(
     second pass; both are null where the pass is not taken. A source with a target below
     its size takes a seeded random part of its rows, one of them in part.
 
-    Null text has size 0; a null source is a source of its own, ranked last; null or
-    repeated ids are rows like any others; an empty table gives an empty result. Other
-    columns are not read. A hot source is dealt over about sqrt(rows) buckets, so its
-    running sum needs no task with all of its rows.
+    Null text has size 0, texts of any length are counted whole; a null source is a source of
+    its own, ranked last; null or repeated ids are rows like any others; an empty table gives
+    an empty result. Other columns are not read. A hot source is dealt over about
+    sqrt(rows) buckets by a hash of id and text, so its running sum needs no task with all of
+    its rows, whatever the ids; only rows equal in id and text (which are interchangeable)
+    share a bucket.
     """
     if most > 2:
         raise ValueError("a document has at most two passes")
-    id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text))
     rows = materialise(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_text)), 1, 13), 16, 10).cast("long").alias("key"),
+            F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long").alias("key"),
         ),
         "mix-rows",
     )

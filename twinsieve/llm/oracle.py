@@ -116,7 +116,7 @@ def _op6() -> str:
     return rf"""
 WITH rows_ AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{WS}]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS key
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS key
   FROM documents),
 src AS (
   SELECT source, sum(size)::DOUBLE AS source_size,

@@ -98,8 +98,9 @@ def find_secrets(
     are owner-specific. Base candidates (assign, access, hex) all stay in ``items``;
     opaque ones only if live.
 
-    Null text counts as empty, a null owner or repository as one of its own; null ids and
-    repeated rows have results like any others. A hot value is first reduced to its
+    Ids are integers. Null text counts as empty, a null owner or repository as one of its own;
+    texts of any length are read whole; null ids and repeated rows have results like any
+    others; an empty table gives an empty result; columns not named are not read. A hot value is first reduced to its
     distinct owners and repositories map-side; the join back is split by AQE.
     """
     ship_package(docs.sparkSession)

@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ from twinsieve.runtime import ship_package
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 256
 
+#: Places where pre-tokens always part, whatever stands further off: before white space that
+#: stands alone, between letters and digits, around other signs. An apostrophe may begin a
+#: pre-token with the letters after it, so no cut is made behind one.
+CUT = regex.compile(
+    r"(?<=\S)(?=\s\S)|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}--'])(?=[\p{L}\p{N}])",
+    regex.V1,
+)
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -29,26 +38,21 @@ def encoding_of(ranks: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
-def cut_leaves(text: str, most: int | None = None, size: int = LEAF_CHARS) -> list[str]:
-    """Cut ``text`` about every ``size`` characters (into ``most`` leaves at most).
+def cut_leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
+    """Cut ``text`` about every ``size`` characters, at the first ``CUT`` from there on.
 
-    A cut is made only before a blank that stands between two characters that are not
-    white space. A pre-token never spans such a place and none looks past it, so tokens
-    of the leaves are the tokens of the text. A text without such a place is one leaf.
+    No pre-token spans such a place and none looks past it, so the tokens of the leaves are the
+    tokens of the text. What stands between two cuts is never divided: a megabyte of one
+    letter is one leaf.
     """
-    leaves, begin, n = [], 0, len(text)
-    at = size
-    while at < n - 1 and (most is None or len(leaves) < most - 1):
-        at = text.find(" ", at, n - 1)
-        if at < 0:
-            break
-        if text[at - 1].isspace() or text[at + 1].isspace():
-            at += 1
-            continue
-        leaves.append(text[begin:at])
-        begin, at = at, at + size
-    leaves.append(text[begin:])
-    return leaves
+    leaves, begin = [], 0
+    while True:
+        cut = CUT.search(text, begin + size)
+        if cut is None or cut.start() >= len(text):
+            leaves.append(text[begin:])
+            return leaves
+        leaves.append(text[begin : cut.start()])
+        begin = cut.start()
 
 
 def build_tree(counts: list[int]) -> list[int]:
@@ -76,8 +80,10 @@ def apply_edits(
     change in place. Returns the new text, the edits applied and the characters encoded.
 
     An edit touches the leaves it lies in and those beside a cut that is next to it, as a
-    cut depends on one character on either side. Touched leaves are encoded again, and
-    their new text goes into the same leaves, so sums change along their paths only.
+    cut depends on the character before and two behind. Touched leaves are encoded again. If
+    their new text needs no more leaves than before, sums change along their paths only; if
+    it needs more, leaves are put in and the sums (not the tokens) are built anew, so no
+    leaf grows with the number of edits.
     """
     n = len(text)
     starts, at = [], 0
@@ -105,6 +111,7 @@ def apply_edits(
         else:
             groups.append([first, last, [edit]])
     out, done, encoded = [], 0, 0
+    longer: list[tuple[int, int, list[str]]] = []
     for low, high, some in groups:
         lo = starts[low]
         hi = starts[high + 1] if high + 1 < len(starts) else n
@@ -115,15 +122,24 @@ def apply_edits(
         parts.append(text[place:hi])
         region = "".join(parts)
         slots = high - low + 1
-        leaves = cut_leaves(region, most=slots)
-        leaves += [""] * (slots - len(leaves))
-        for k, leaf in enumerate(leaves):
-            sizes[low + k] = len(leaf)
-            set_leaf(tree, low + k, count(leaf))
+        leaves = cut_leaves(region)
+        if len(leaves) > slots:
+            longer.append((low, high, leaves))
+        else:
+            for k, leaf in enumerate(leaves + [""] * (slots - len(leaves))):
+                sizes[low + k] = len(leaf)
+                set_leaf(tree, low + k, count(leaf) if leaf else 0)
         encoded += len(region)
         out += [text[done:lo], region]
         done = hi
     out.append(text[done:])
+    if longer:
+        half = len(tree) // 2
+        counts = tree[half : half + len(sizes)]
+        for low, high, leaves in reversed(longer):
+            sizes[low : high + 1] = map(len, leaves)
+            counts[low : high + 1] = map(count, leaves)
+        tree[:] = build_tree(counts)
     return "".join(out), len(applied), encoded
 
 
@@ -162,8 +178,10 @@ def _edit_batches(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[p
 def index_tokens(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, leaf_chars, tree``: the token count of a text is ``tree[1]``.
 
-    ``rank_file`` is a path on the driver; its content is sent to the tasks. Null text
-    counts as empty (0 tokens). Rows are independent of each other.
+    ``rank_file`` is a path on the driver; its content is sent to the tasks. Ids are integers.
+    Null text counts as empty (0 tokens); texts of any length are counted whole, one at a
+    time. Rows are independent of each other, so repeated rows and null ids have results
+    like any others; an empty table gives an empty one. Other columns are not read.
     """
     ship_package(docs.sparkSession)
     with open(rank_file, "rb") as file:
@@ -184,7 +202,9 @@ def recount(
 
     Edits apply in order of place; one that begins before the end of the one before is
     left out, as are edits with a null place; places are clipped to the text; null new text
-    deletes; null or empty edits leave the row as it is.
+    deletes; null or empty edits leave the row as it is. Work grows with the text of the touched
+    leaves (a run without any place to cut, such as one long word, is a leaf). Null ids,
+    repeated rows and empty tables as in ``index_tokens``; other columns are dropped.
     """
     ship_package(indexed.sparkSession)
     with open(rank_file, "rb") as file:
