@@ -1,5 +1,10 @@
 """The corpus pipeline: quality rules, line de-duplication, near-duplicate removal,
-benchmark decontamination, then mixing to target weights."""
+benchmark decontamination, then mixing to target weights.
+
+Every stage decides row by row. Null and repeated ids are rows like any others (the rows are
+then numbered first); null and empty texts fail the base rules of the first stage; texts of
+any length are used whole; an empty table gives an empty result; the first four stages give
+back the columns they get."""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.llm import decontamination, line_dedup, mixing, near_dedup, quality
-from twinsieve.runtime import materialise, table
+from twinsieve.runtime import drop_materialised, materialise, table
 
 #: Words as in the operators: runs of anything but the six blanks.
 _WORD = r"[^\x20\x09-\x0D]"
@@ -89,7 +94,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if former is not None:
+            drop_materialised(former)
+        former = docs
     return STAGES[-1][1](spark, docs, sf_dir)
