@@ -50,9 +50,8 @@ def line_windows(docs: DataFrame, *, id_col: str, text_col: str, width: int = 3)
             ),
         )
 
-    return docs.select(
-        F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.explode(once(lines, runs)).alias("w")
-    ).select("id", "mark", "w.begin", "w.end", "w.h1", "w.h2")
+    found = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), once(lines, runs).alias("w"))
+    return found.select("id", "mark", F.explode("w").alias("w")).select("id", "mark", "w.begin", "w.end", "w.h1", "w.h2")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
