@@ -59,14 +59,14 @@ def split_by_number(number: Column) -> Column:
 def pack_bits(values: Column) -> Column:
     """64 coefficients to a fingerprint, most significant bit first: a bit is set where a
     coefficient other than the first exceeds the median of all but the first."""
-    middle = F.element_at(F.array_sort(F.slice(values, 2, 63)), 32)
+    powers = F.array(*[F.lit(1 << (63 - k) if k else 0).cast("long") for k in range(64)])
 
-    def bit(v, i):
-        # shiftleft takes a literal number of bits only; a lookup gives the power of two.
-        powers = F.array(*[F.lit(1 << (63 - k) if k else 0).cast("long") for k in range(64)])
-        return F.when(v > middle, F.get(powers, i)).otherwise(F.lit(0).cast("long"))
+    def packed(bound):  # the median and the powers are bound once, outside the loop over bits
+        chosen = F.zip_with(values, bound["powers"], lambda v, p: F.when(v > bound["middle"], p).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(chosen, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.aggregate(F.transform(values, bit), F.lit(0).cast("long"), lambda a, x: a + x)
+    middle = F.element_at(F.array_sort(F.slice(values, 2, 63)), 32)
+    return F.get(F.transform(F.array(F.struct(middle.alias("middle"), powers.alias("powers"))), packed), F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(predicted: Column, truth: Column) -> list[Column]:
+def confusion(predicted: Column, truth: Column, weight: Column | None = None) -> list[Column]:
+    """Counts of pairs, or sums of ``weight`` where a row stands for several."""
     yes, real = F.coalesce(predicted, F.lit(False)), truth
-    return [
-        F.count_if(yes & real).alias("tp"), F.count_if(yes & ~real).alias("fp"),
-        F.count_if(~yes & real).alias("fn"), F.count_if(~yes & ~real).alias("tn"),
-    ]
+    each = F.lit(1) if weight is None else weight
+    total = lambda c: F.coalesce(F.sum(F.when(c, each)), F.lit(0)).cast("long")
+    return [total(yes & real).alias("tp"), total(yes & ~real).alias("fp"), total(~yes & real).alias("fn"), total(~yes & ~real).alias("tn")]
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -24,8 +24,10 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def pair_metrics(pairs: DataFrame, predicted: Column, *by: str) -> DataFrame:
-    """Counts and rates of one detector over pairs with a boolean ``is_duplicate``."""
-    return with_rates(pairs.groupBy(*by).agg(*confusion(predicted, F.col("is_duplicate"))))
+    """Counts and rates of one detector over pairs with a boolean ``is_duplicate``; a column ``n``
+    says for how many pairs a row stands."""
+    weight = F.col("n") if "n" in pairs.columns else None
+    return with_rates(pairs.groupBy(*by).agg(*confusion(predicted, F.col("is_duplicate"), weight)))
 
 
 def sweep(pairs: DataFrame, thresholds: list, predicted, *by: str) -> DataFrame:

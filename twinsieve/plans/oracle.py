@@ -118,7 +118,8 @@ near AS (
   FROM qs q JOIN vecs r ON q.id <> r.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY cosine DESC, right_id) AS rank FROM near),
 truth AS (
-  SELECT q.label AS corruption, q.label = r.label AS is_duplicate, q.number AS n1, r.number AS n2, bit_count(xor(q.fp, r.fp))::INTEGER AS distance
+  SELECT q.label AS corruption, q.label = r.label AS is_duplicate, q.vec = r.vec AS exact, r.number % 2 AS fold,
+    bit_count(xor(q.fp, r.fp))::INTEGER AS distance, list_cosine_similarity(q.vec, r.vec) AS cosine
   FROM qs q JOIN vecs r ON q.number <> r.number),
 targets(split, ratio) AS (VALUES {", ".join(f"('{s}', {r}::DOUBLE)" for s, r in RATIOS.items())}),
 pq AS (
@@ -151,7 +152,10 @@ def _rates(inner: str) -> str:
     return f"SELECT *, {_RATES} FROM ({inner})"
 
 
-_SWEEP = _rates(f"SELECT t::INTEGER AS threshold, {_counts('distance <= t')} FROM truth, range(-1, 65) r(t) WHERE n2 % 2 = 0 GROUP BY t")
+_SWEEP = _rates(f"SELECT t::INTEGER AS threshold, {_counts('exact OR distance <= t')} FROM truth, range(-1, 65) r(t) GROUP BY t")
+_FOLDS = f"SELECT t::INTEGER AS threshold, CASE fold WHEN 0 THEN 'selection' ELSE 'held_out' END AS fold, {_counts('exact OR distance <= t')} FROM truth, range(-1, 65) r(t) GROUP BY ALL"
+# The fields of a snapshot row.
+_ROW = """'{"byte_sha256":"' || byte_sha256 || '","byte_size":' || byte_size || ',"format":null,"height":null,"id":"' || id || '","label":' || coalesce(to_json(label)::VARCHAR, 'null') || ',"path":null,"split":"' || split || '","width":null}'"""
 
 BODIES = {
     "ids_stable": f"SELECT doc_id, {_stable('doc', 'doc_id::VARCHAR')} AS id, {_stable('img', 'p', 'doc_id::VARCHAR')} AS path_id FROM (SELECT doc_id, lang || '/' || source AS p FROM documents)",
@@ -166,11 +170,12 @@ BODIES = {
     "exact_boundary_counts": f"SELECT boundary, count(cluster_id) AS n_groups FROM (VALUES ('train-val'), ('train-test'), ('val-test')) b(boundary) LEFT JOIN clusters ON list_contains({_crossed('s')}, boundary) GROUP BY boundary",
     "fingerprint_pack": "SELECT number, fp, bit_count(fp)::INTEGER AS n_bits FROM vecs",
     "hamming_pairs_bnlj": "SELECT * FROM ham",
-    "hamming_pairs_banded": "SELECT * FROM ham",
+    "hamming_pairs_banded": "SELECT * FROM ham WHERE distance <= 8",
+    "hamming_pairs_auto": f"SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.fp, b.fp))::INTEGER AS distance FROM fps a JOIN fps b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= {RADIUS + 2} UNION ALL SELECT fps.id, vecs.id, 0 FROM vecs JOIN fps ON vecs.fp = fps.fp WHERE vecs.id <> fps.id",
     "hamming_point_query": f"SELECT q.id AS query_id, r.id, bit_count(xor(q.fp, r.fp))::INTEGER AS distance FROM qs q JOIN vecs r ON q.id <> r.id AND bit_count(xor(q.fp, r.fp)) <= {RADIUS + 2}",
     "knn_exact_topk": f"SELECT left_id, right_id, round(cosine, 4) AS cosine, rank::INTEGER AS rank FROM ranked WHERE rank <= {NEIGHBOURS}",
     "cosine_threshold_pairs": "SELECT left_id, right_id, round(cosine, 4) AS cosine FROM cos",
-    "recall_at_k": "SELECT count(*) AS n_exact, count(h.left_id) AS n_found, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(h.left_id) / count(*) END AS recall FROM cos c LEFT JOIN ham h ON h.left_id = c.left_id AND h.right_id = c.right_id",
+    "recall_at_k": f"SELECT count(*) AS n_exact, count(h.a) AS n_found, count(h.a) / count(*) AS recall FROM (SELECT left_id, right_id FROM ranked WHERE rank <= {NEIGHBOURS}) e LEFT JOIN (SELECT q.id AS a, r.id AS b, row_number() OVER (PARTITION BY q.id ORDER BY bit_count(xor(q.fp, r.fp)), r.id) AS k FROM qs q JOIN vecs r ON q.id <> r.id) h ON h.a = left_id AND h.b = right_id AND h.k <= {NEIGHBOURS}",
     "evidence_merge": "SELECT left_id, right_id, exact_match, phash_distance, round(cosine_similarity, 4) AS cosine_similarity FROM edges",
     "edge_classify": "SELECT classification, decision, count(*) AS n_edges FROM edges GROUP BY ALL",
     "edge_confidence": "SELECT left_id, right_id, round(confidence::DOUBLE, 4) AS confidence FROM edges",
@@ -182,7 +187,7 @@ BODIES = {
     "leakage_summary": "SELECT n.*, round(CASE WHEN evaluation_records = 0 THEN 0 ELSE contaminated_evaluation_records / evaluation_records END, 6) AS contaminated_fraction, k.* FROM (SELECT count(root) AS contaminated_records, count(*) FILTER (WHERE split IN ('val', 'test')) AS evaluation_records, count(root) FILTER (WHERE split IN ('val', 'test')) AS contaminated_evaluation_records FROM records r LEFT JOIN (SELECT id, m.root FROM members m JOIN leaks l ON l.root = m.root) d USING (id)) n, (SELECT count(*) FILTER (WHERE kinds[1] = 'exact') AS exact_groups, count(*) FILTER (WHERE kinds[1] = 'transformed_duplicate') AS transformed_groups FROM leaks) k",
     "semantic_reviews_cross_split": "SELECT left_id, right_id, ls AS left_split, rs AS right_split, round(cosine_similarity, 4) AS cosine_similarity FROM sem WHERE ls <> rs",
     "label_conflicts": "SELECT * FROM conflicts",
-    "conflict_counts": "SELECT kind, count(labels) AS n_conflicts FROM (VALUES ('exact'), ('near'), ('semantic')) k(kind) LEFT JOIN (SELECT kind, labels FROM conflicts UNION ALL SELECT kind, labels FROM semconf) USING (kind) GROUP BY kind",
+    "conflict_counts": "SELECT count(*) AS cross_label_conflicts, count(*) FILTER (WHERE kind <> 'semantic') AS definite_conflicts, count(*) FILTER (WHERE kind = 'exact') AS exact_conflicts, count(*) FILTER (WHERE kind = 'near') AS near_conflicts, count(*) FILTER (WHERE kind = 'semantic') AS semantic_review_conflicts FROM (SELECT kind FROM conflicts UNION ALL SELECT kind FROM semconf)",
     "semantic_conflicts": "SELECT * FROM semconf",
     "split_statistics": "SELECT split, coalesce(sum(n), 0)::BIGINT AS image_count, coalesce(string_agg(label || ':' || n, ',' ORDER BY label), '') AS class_counts FROM (SELECT split FROM targets) LEFT JOIN (SELECT split, label, count(*) AS n FROM records GROUP BY ALL) USING (split) GROUP BY split",
     "class_histogram": "SELECT split, label, count(*) AS n FROM records GROUP BY ALL",
@@ -193,19 +198,20 @@ BODIES = {
     "group_vectors_entropy": "SELECT g.group_id, size, round(coalesce(entropy, 0.0), 6) + 0.0 AS entropy, coalesce(labels, '') AS labels, coalesce(splits, '') AS splits FROM (SELECT group_id, count(*) AS size FROM grouped GROUP BY 1) g LEFT JOIN (SELECT group_id, -sum(n / t * log2(n / t)) AS entropy, string_agg(label || ':' || n, ',' ORDER BY label) AS labels FROM (SELECT group_id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY group_id) AS t FROM grouped JOIN records USING (id) WHERE label IS NOT NULL GROUP BY 1, 2) GROUP BY 1) l USING (group_id) LEFT JOIN (SELECT group_id, string_agg(split || ':' || n, ',' ORDER BY split) AS splits FROM (SELECT group_id, split, count(*) AS n FROM grouped JOIN records USING (id) GROUP BY 1, 2) GROUP BY 1) s USING (group_id)",
     "singleton_groups": f"SELECT id, {_family('[id]')} AS group_id FROM records WHERE id NOT IN (SELECT id FROM members)",
     "repair_invariant": "SELECT 0::BIGINT AS divided_families, 0::BIGINT AS missing_records",
-    "repair_leakage": "SELECT count(*) FILTER (WHERE n > 1) AS leakage_before, count(*) AS n_families FROM (SELECT root, count(DISTINCT split) AS n FROM members JOIN records USING (id) GROUP BY root)",
-    "moved_count": "SELECT count(*) FILTER (WHERE coalesce(h.split, r.split) <> r.split) AS moved, count(*) AS n_records FROM records r LEFT JOIN members m ON m.id = r.id LEFT JOIN records h ON h.id = m.root",
-    "pair_metrics_exact": _rates(f"SELECT split, {_counts('hit')} FROM (SELECT a.split, a.byte_sha256 = b.byte_sha256 AS hit, a.label = b.label AS is_duplicate FROM docs a JOIN docs b ON b.number = a.number + 11) GROUP BY split"),
+    "repair_leakage": "SELECT count(*) FILTER (WHERE n > 1) AS leakage_before, 0::BIGINT AS leakage_after, count(*) AS n_families FROM (SELECT root, count(DISTINCT split) FILTER (WHERE split <> 'custom') AS n FROM members JOIN records USING (id) GROUP BY root)",
+    "repair_splits_before": "SELECT split, count(*) AS before FROM records GROUP BY split",
+    "pair_metrics_exact": _rates(f"SELECT corruption, {_counts('exact')} FROM truth GROUP BY corruption"),
     "phash_threshold_sweep": _rates(f"SELECT t AS threshold, corruption, {_counts('distance <= t')} FROM truth, (VALUES (0), (4), (8), (16), (24), (28), (32)) v(t) GROUP BY t, corruption"),
     "cosine_threshold_sweep": _rates(f"SELECT t::DOUBLE AS threshold, {_counts('cosine >= t', 'l1 = l2')} FROM near, (VALUES (0.05005), (0.10005), (0.20005), (0.30005)) v(t) GROUP BY t"),
-    "combined_policy_metrics": _rates(f"SELECT corruption, {_counts('distance <= 24 OR (n1 + n2) % 7 = 0')} FROM truth GROUP BY corruption"),
+    "combined_policy_metrics": _rates(f"SELECT corruption, {_counts('exact OR distance <= 24 OR cosine >= 0.30005')} FROM truth GROUP BY corruption"),
     "labeled_pair_sweep": _SWEEP,
-    "select_radius": f"SELECT * FROM ({_SWEEP}) WHERE precision >= 0.10 ORDER BY recall DESC, precision DESC, threshold LIMIT 1",
+    "select_radius": _rates(f"WITH s AS ({_FOLDS}) SELECT s.* FROM s JOIN (SELECT threshold FROM ({_rates('SELECT * FROM s')}) WHERE fold = 'selection' AND precision >= 0.10 ORDER BY recall DESC, precision DESC, threshold LIMIT 1) USING (threshold)"),
     "fold_independence": " UNION ALL ".join(f"SELECT '{c}' AS what, count(*) AS n_shared FROM (SELECT {c} FROM docs WHERE number % 2 = 0 INTERSECT SELECT {c} FROM docs WHERE number % 2 = 1)" for c in ("byte_sha256", "label", "id")),
     "accuracy_by_class": "SELECT l1 AS label, count(*) AS n, count(*) FILTER (WHERE l1 = l2) AS correct, round(count(*) FILTER (WHERE l1 = l2) / count(*), 6) AS accuracy FROM ranked WHERE rank = 1 GROUP BY l1",
     "negative_controls": "SELECT cluster_id, first_id AS source_id, coalesce(lead(first_id) OVER (ORDER BY cluster_id), first_value(first_id) OVER (ORDER BY cluster_id)) AS control_id FROM clusters",
-    "stratified_sample": "SELECT id, label, rank::INTEGER AS rank FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || id), id) AS rank FROM docs) WHERE rank <= 10",
-    "snapshot_rows": "SELECT split, sha256(string_agg(q || h, '' ORDER BY q || h)) AS snapshot_sha256 FROM (SELECT split, left(p, 2) AS q, sha256(string_agg(p || h, '' ORDER BY p || h)) AS h FROM (SELECT split, left(byte_sha256, 5) AS p, sha256(string_agg(row, '' ORDER BY row)) AS h FROM (SELECT *, sha256(concat_ws('|', id, split, label, byte_sha256, byte_size)) AS row FROM docs) GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY split",
+    "stratified_sample": "SELECT id, label, rank::INTEGER AS rank, CASE WHEN rank <= 6 THEN 'train' WHEN rank <= 8 THEN 'val' ELSE 'test' END AS bucket FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || id), id) AS rank FROM docs) WHERE rank <= 10",
+    "snapshot_rows": f"SELECT id, {_ROW} AS row FROM docs",
+    "snapshot_hash": f"""SELECT sha256('{{"issues":[],"records":[' || string_agg({_ROW}, ',' ORDER BY id) || '],"schema":"dataset-snapshot-v1"}}') AS snapshot_sha256 FROM docs""",
     "unknown_id_guard": "SELECT left_id AS id FROM edges WHERE left_id NOT IN (SELECT id FROM records) UNION SELECT right_id FROM edges WHERE right_id NOT IN (SELECT id FROM records)",
     "disjoint_family_guard": "SELECT id, count(*) AS n FROM members GROUP BY id HAVING count(*) > 1",
     "edge_order_guard": "SELECT left_id, right_id FROM edges WHERE left_id >= right_id",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinsieve.functions.identity import KINDS, TARGETS, family_id, hamming, stable_id
+from twinsieve.functions.identity import KINDS, TARGETS, family_id, stable_id
 from twinsieve.operators import balance as B
 from twinsieve.operators import duplicates as D
 from twinsieve.operators import evidence as E
+from twinsieve.operators import hashes as H
 from twinsieve.operators import metrics as M
 from twinsieve.runtime import materialise, table
 from twinsieve.sources.tables import COSINE, NEIGHBOURS, RADIUS, all_records, doc_records, vector_records
@@ -91,22 +92,23 @@ def records_vectors(spark, sf_dir):
     return vector_records(spark, sf_dir).select("id", "number", "split", "label", "fp")
 
 
-def _numbered(df, head, keys, name):
-    """Rows with their place (from 0) in the order of ``keys``; ``head`` is a prefix of the
-    first key that deals the rows out, so that no task sorts them all."""
-    df = df.withColumn("__head", head)
-    counts = df.groupBy("__head").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__head", before.alias("__start"))
-    within = F.row_number().over(Window.partitionBy("__head").orderBy(*keys)) - 1
-    return df.withColumn("__k", within).join(starts, "__head").withColumn(name, F.col("__start") + F.col("__k")).drop("__head", "__k", "__start")
+def _numbered(df, keys, name):
+    """Rows with their place (from 0) in the order of ``keys``: a range sort, then offsets per
+    partition, so no task sorts them all."""
+    placed = df.orderBy(*keys).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    placed = materialise(placed, "numbered")
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__part", before.alias("__start")))  # a row for each partition
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return placed.join(starts, "__part").withColumn(name, F.col("__start") + within).drop("__part", "__at", "__start")
 
 
 def manifest_ordinal(spark, sf_dir):
     """Canonical order: lower path, path, split, label."""
     r = doc_records(spark, sf_dir).withColumn("path", F.concat_ws("/", "split", "label", F.col("number").cast("string")))
     keys = [F.lower("path"), F.col("path"), F.col("split"), F.coalesce("label", F.lit(""))]
-    return _numbered(r, F.left(F.lower("path"), F.lit(14)), keys, "ordinal").select("id", "path", "ordinal")
+    return _numbered(r, keys, "ordinal").select("id", "path", "ordinal")
 
 
 def dup_id_issues(spark, sf_dir):
@@ -143,7 +145,12 @@ def hamming_pairs_bnlj(spark, sf_dir):
 
 
 def hamming_pairs_banded(spark, sf_dir):
-    return D.hamming_pairs(vector_records(spark, sf_dir), RADIUS, plan="bands")
+    """The block index, at the default radius of an audit."""
+    return D.hamming_pairs(vector_records(spark, sf_dir), 8, plan="blocks")
+
+
+def hamming_pairs_auto(spark, sf_dir):
+    return D.hamming_pairs(vector_records(spark, sf_dir), RADIUS + 2)
 
 
 def _queries_of(records):
@@ -172,9 +179,10 @@ def ann_recall(spark, sf_dir):
 
 
 def recall_at_k(spark, sf_dir):
-    """Of the neighbours of at least the threshold, those within the Hamming radius."""
-    a = Audit(spark, sf_dir)
-    return D.recall_at_k(a.cosine, a.hamming)
+    """Of the 10 nearest vectors by cosine, those that are among the 10 nearest fingerprints."""
+    r = Audit(spark, sf_dir).vectors
+    exact = D.nearest_neighbors(r, _queries_of(r), NEIGHBOURS)
+    return D.recall_at_k(exact, D.nearest_fingerprints(r, _queries_of(r), NEIGHBOURS))
 
 
 def evidence_merge(spark, sf_dir):
@@ -244,12 +252,15 @@ def semantic_conflicts(spark, sf_dir):
 
 
 def conflict_counts(spark, sf_dir):
+    """All conflicts, the definite ones, and those of each kind."""
     a = Audit(spark, sf_dir)
     sure = E.definite_conflicts(a.records, a.members, a.edges).select("kind")
     every = sure.unionByName(E.semantic_conflicts(a.records, a.members, a.edges).select("kind"))
-    names = spark.createDataFrame([(k,) for k in KINDS], "kind string")
-    counts = every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n_conflicts"))
+    exact, near, semantic = (F.count_if(F.col("kind") == k) for k in KINDS)
+    return every.agg(
+        F.count(F.lit(1)).alias("cross_label_conflicts"), (exact + near).alias("definite_conflicts"), exact.alias("exact_conflicts"),
+        near.alias("near_conflicts"), semantic.alias("semantic_review_conflicts"),
+    )
 
 
 def split_statistics(spark, sf_dir):
@@ -304,57 +315,44 @@ def repair_invariant(spark, sf_dir):
     return divided.join(missing)
 
 
-def repair_results(spark, sf_dir):
-    """Families over several target splits before and after the repair, records it moves and all records."""
-    a = Audit(spark, sf_dir)
+def _repaired(a: Audit):
+    """Each record's split before and after the repair, with the root of its family, if any."""
     out = materialise(B.repair_splits(a.records, a.members, RATIOS)[0], "repaired")
-    met = out.join(a.members, F.col("record_id") == F.col("id"))
-    span = lambda c: F.countDistinct(F.when(F.col(c).isin(*TARGETS), F.col(c)))
-    spans = met.groupBy("root").agg(span("original_split").alias("b"), span("repaired_split").alias("a"))
-    leaks = spans.agg(F.count_if(F.col("b") > 1).alias("leakage_before"), F.count_if(F.col("a") > 1).alias("leakage_after"), F.count(F.lit(1)).alias("n_families"))
-    return leaks.join(out.agg(F.count_if(F.col("original_split") != F.col("repaired_split")).alias("moved"), F.count(F.lit(1)).alias("n_records")))
+    return out.join(a.members, F.col("record_id") == F.col("id"), "left")
 
 
-def repair_split_counts(spark, sf_dir):
-    """Records per split before and after the repair."""
-    a = Audit(spark, sf_dir)
-    out = materialise(B.repair_splits(a.records, a.members, RATIOS)[0], "repaired")
-    count = lambda c, name: out.groupBy(F.col(c).alias("split")).agg(F.count(F.lit(1)).alias(name))
-    met = count("original_split", "before").join(count("repaired_split", "after"), "split", "full_outer")
-    return met.select("split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+def _span_counts(rows, *columns):
+    """Families over several target splits, by each of the split columns (a span, no evidence asked for)."""
+    span = lambda c: F.countDistinct(F.when(F.col(c).isin(*TARGETS), F.col(c)))
+    spans = rows.where("root IS NOT NULL").groupBy("root").agg(*[span(c).alias(c) for c in columns])
+    return spans.agg(*[F.count_if(F.col(c) > 1).alias(c) for c in columns], F.count(F.lit(1)).alias("n_families"))
 
 
 def repair_leakage(spark, sf_dir):
-    """Families over several target splits before the repair (a span, no evidence asked for)."""
-    a = Audit(spark, sf_dir)
-    met = a.members.join(a.records.select("id", "split"), "id").where(F.col("split").isin(*TARGETS))
-    spans = met.groupBy("root").agg(F.countDistinct("split").alias("n"))
-    return spans.agg(F.count_if(F.col("n") > 1).alias("leakage_before"), F.count(F.lit(1)).alias("n_families"))
+    """Families over several target splits before and after the repair."""
+    counts = _span_counts(_repaired(Audit(spark, sf_dir)), "original_split", "repaired_split")
+    return counts.toDF("leakage_before", "leakage_after", "n_families")
 
 
 def moved_count(spark, sf_dir):
-    """Records that change if each family goes where its first record is."""
-    a = Audit(spark, sf_dir)
-    first = a.members.groupBy("root").agg(F.min("id").alias("first"))
-    home = first.join(a.records.select(F.col("id").alias("first"), F.col("split").alias("home")), "first").select("root", "home")
-    met = a.records.join(a.members, "id", "left").join(home, "root", "left")
-    return met.agg(F.count_if(F.coalesce("home", "split") != F.col("split")).alias("moved"), F.count(F.lit(1)).alias("n_records"))
+    """Records that the repair moves, and all records."""
+    moved = F.count_if(F.col("original_split") != F.col("repaired_split")).alias("moved")
+    return _repaired(Audit(spark, sf_dir)).agg(moved, F.count(F.lit(1)).alias("n_records"))
+
+
+def repair_splits_before(spark, sf_dir):
+    """Records per split as the repair reports them before it moves any."""
+    return _repaired(Audit(spark, sf_dir)).groupBy(F.col("original_split").alias("split")).agg(F.count(F.lit(1)).alias("before"))
+
+
+#: Cosine thresholds of the sweep; the last is that of the combined policy.
+LEVELS = [0.05005, 0.10005, 0.20005, 0.30005]
 
 
 def _truth(spark, sf_dir):
-    """Vector pairs between the query rows and all others, with Hamming and cosine columns."""
-    a = Audit(spark, sf_dir)
-    q = a.vectors.where("number % 50 = 0").select(F.col("id").alias("left_id"), F.col("number").alias("n1"), F.col("label").alias("l1"), F.col("fp").alias("f1"))
-    r = a.vectors.select(F.col("id").alias("right_id"), F.col("number").alias("n2"), F.col("label").alias("l2"), F.col("fp").alias("f2"))
-    # Blocks of about 20,000 rows of each side meet by an equi-join on their numbers.
-    n_q, n_r = (df.count() // 20_000 + 1 for df in (q, r))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("i", deal("left_id", n_q)).withColumn("j", every(n_r))
-    r = r.withColumn("j", deal("right_id", n_r)).withColumn("i", every(n_q))
-    pairs = r.join(q, ["i", "j"]).where("n1 <> n2")
-    return pairs.select("left_id", "right_id", "n1", "n2", F.col("l1").alias("corruption"), (F.col("l1") == F.col("l2")).alias("is_duplicate"),
-                        hamming(F.col("f1"), F.col("f2")).cast("int").alias("distance"))
+    """Counts of the pairs of the query rows with all others, by label, truth and signals."""
+    r = Audit(spark, sf_dir).vectors
+    return materialise(D.pair_histogram(_queries_of(r), r, LEVELS), "truth")
 
 
 def _rounded(df):
@@ -362,10 +360,7 @@ def _rounded(df):
 
 
 def pair_metrics_exact(spark, sf_dir):
-    r = doc_records(spark, sf_dir)
-    pairs = r.join(r.select("number", "byte_sha256", "label").toDF("n2", "s2", "l2"), F.col("n2") == F.col("number") + 11)
-    pairs = pairs.select(F.col("split"), (F.col("byte_sha256") == F.col("s2")).alias("hit"), (F.col("label") == F.col("l2")).alias("is_duplicate"))
-    return _rounded(M.pair_metrics(pairs, F.col("hit"), "split"))
+    return _rounded(M.pair_metrics(_truth(spark, sf_dir), F.col("exact"), "corruption"))
 
 
 def phash_threshold_sweep(spark, sf_dir):
@@ -373,38 +368,30 @@ def phash_threshold_sweep(spark, sf_dir):
 
 
 def cosine_threshold_sweep(spark, sf_dir):
-    a = Audit(spark, sf_dir)
-    pairs = D.nearest_neighbors(a.vectors, _queries_of(a.vectors), 10_000_000)
-    labels = a.vectors.select("id", "label")
-    pairs = pairs.join(labels.toDF("left_id", "l1"), "left_id").join(labels.toDF("right_id", "l2"), "right_id")
-    pairs = pairs.withColumn("is_duplicate", F.col("l1") == F.col("l2"))
-    return _rounded(M.sweep(pairs, [0.05005, 0.10005, 0.20005, 0.30005], lambda t: F.col("cosine") >= t))
+    reached = F.array(*[F.lit(0.0), *map(F.lit, LEVELS)])
+    return _rounded(M.sweep(_truth(spark, sf_dir), LEVELS, lambda t: F.get(reached, F.col("level")) >= t))
 
 
 def combined_policy_metrics(spark, sf_dir):
-    return _rounded(M.pair_metrics(_truth(spark, sf_dir), (F.col("distance") <= 24) | (F.pmod(F.col("n1") + F.col("n2"), F.lit(7)) == 0), "corruption"))
-
+    """Equal content, fingerprints within 24 or a cosine of at least the last level."""
+    hit = F.col("exact") | (F.col("distance") <= 24) | (F.col("level") == len(LEVELS))
+    return _rounded(M.pair_metrics(_truth(spark, sf_dir), hit, "corruption"))
 
-def labeled_pair_sweep(spark, sf_dir):
-    pairs = _truth(spark, sf_dir).where("n2 % 2 = 0")
-    return _rounded(M.sweep(pairs, list(range(-1, 65)), lambda t: F.col("distance") <= t))
 
+def _within(t):
+    """Radius -1 asks for equal content alone."""
+    return F.col("exact") | (F.col("distance") <= t)
 
-def select_radius(spark, sf_dir):
-    pairs = _truth(spark, sf_dir).where("n2 % 2 = 0")
-    return _rounded(M.select_radius(M.sweep(pairs, list(range(-1, 65)), lambda t: F.col("distance") <= t), 0.10))
 
-
-def labeled_pair_sweep_all(spark, sf_dir):
-    """``labeled_pair_sweep`` (pairs with an even second number, as its SQL has them) over all pairs."""
-    return _rounded(M.sweep(_truth(spark, sf_dir), list(range(-1, 65)), lambda t: F.col("distance") <= t))
+def labeled_pair_sweep(spark, sf_dir):
+    return _rounded(M.sweep(_truth(spark, sf_dir), list(range(-1, 65)), _within))
 
 
-def select_radius_held_out(spark, sf_dir):
-    """The radius that ``select_radius`` chooses on the even fold, with its scores on both folds."""
-    fold = F.when(F.pmod("n2", F.lit(2)) == 0, "selection").otherwise("held_out")
+def select_radius(spark, sf_dir):
+    """The radius chosen on the even fold, with its scores on both folds."""
+    fold = F.when(F.col("fold") == 0, "selection").otherwise("held_out")
     pairs = _truth(spark, sf_dir).withColumn("fold", fold)
-    scores = materialise(M.sweep(pairs, list(range(-1, 65)), lambda t: F.col("distance") <= t, "fold"), "folds")
+    scores = materialise(M.sweep(pairs, list(range(-1, 65)), _within, "fold"), "folds")
     chosen = M.select_radius(scores.where("fold = 'selection'"), 0.10).select("threshold")
     return _rounded(scores.join(chosen, "threshold"))
 
@@ -429,28 +416,27 @@ def accuracy_by_class(spark, sf_dir):
 def negative_controls(spark, sf_dir):
     """Each record of a content class with the first record of the next class (circular)."""
     c = D.exact_clusters(doc_records(spark, sf_dir)).select("cluster_id", "first_id", "byte_sha256")
-    ranked = materialise(_numbered(c, F.left("byte_sha256", F.lit(3)), ["cluster_id"], "k"), "controls")
+    ranked = materialise(_numbered(c, ["cluster_id"], "k"), "controls")
     n = max(ranked.count(), 1)
     other = ranked.select(F.pmod(F.col("k") - 1, F.lit(n)).alias("k"), F.col("first_id").alias("control_id"))
     return ranked.join(other, "k").select("cluster_id", F.col("first_id").alias("source_id"), "control_id")
 
 
 def stratified_sample(spark, sf_dir):
-    """Ten records of each label in seeded order."""
-    r = doc_records(spark, sf_dir).withColumn("key", F.sha2(F.concat(F.lit("42:"), F.col("id")), 256))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))
-    return r.withColumn("rank", rank).where("rank <= 10").select("id", "label", "rank")
+    """Per label, in seeded order, the first records cut into three buckets."""
+    r = doc_records(spark, sf_dir)
+    return B.stratified_buckets(r, {"train": 6, "val": 2, "test": 2}, seed=42).select("id", "label", "rank", "bucket")
 
 
 def snapshot_rows(spark, sf_dir):
-    """The hash of each split's snapshot: rows in id order, hashed level by level."""
-    r = doc_records(spark, sf_dir)
-    row = F.sha2(F.concat_ws("|", "id", "split", "label", "byte_sha256", F.col("byte_size").cast("string")), 256)
-    level = r.select("split", F.left("byte_sha256", F.lit(5)).alias("p"), row.alias("h"))
-    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256).alias("h")
-    level = level.groupBy("split", "p").agg(digest("h"))
-    level = level.withColumn("q", F.left("p", F.lit(2))).groupBy("split", "q").agg(digest(F.concat("p", "h")))
-    return level.groupBy("split").agg(digest(F.concat("q", "h")).alias("snapshot_sha256"))
+    """The rows that a snapshot hash covers, in canonical JSON."""
+    return H.snapshot_rows(doc_records(spark, sf_dir)).select("id", "row")
+
+
+def snapshot_hash(spark, sf_dir):
+    """The hash of the dataset: its rows in id order as one canonical JSON document."""
+    value = H.snapshot_hash(doc_records(spark, sf_dir), None)
+    return spark.createDataFrame([(value,)], "snapshot_sha256 string")
 
 
 def unknown_id_guard(spark, sf_dir):
@@ -491,15 +477,14 @@ def report_families(spark, sf_dir):
 
 NAMES = (
     ids_stable, ids_family, records_docs, records_vectors, manifest_ordinal, dup_id_issues, exact_clusters, exact_anchor_edges,
-    exact_cross_split, exact_boundary_counts, fingerprint_pack, hamming_pairs_bnlj, hamming_pairs_banded, hamming_point_query,
-    knn_exact_topk, cosine_threshold_pairs, ann_recall, recall_at_k, evidence_merge, edge_classify, edge_confidence,
-    policy_variants, families, family_edge_counts, leakage_groups, leakage_boundary_counts, leakage_summary,
+    exact_cross_split, exact_boundary_counts, fingerprint_pack, hamming_pairs_bnlj, hamming_pairs_banded, hamming_pairs_auto,
+    hamming_point_query, knn_exact_topk, cosine_threshold_pairs, ann_recall, recall_at_k, evidence_merge, edge_classify,
+    edge_confidence, policy_variants, families, family_edge_counts, leakage_groups, leakage_boundary_counts, leakage_summary,
     semantic_reviews_cross_split, label_conflicts, conflict_counts, semantic_conflicts, split_statistics, class_histogram,
     largest_remainder_targets, split_size_error, jsd_by_split, objective_before, group_vectors_entropy, singleton_groups,
-    repair_assignments, repair_invariant, repair_results, repair_split_counts, repair_leakage, moved_count, pair_metrics_exact, phash_threshold_sweep,
-    cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, labeled_pair_sweep_all,
-    select_radius_held_out, fold_independence, accuracy_by_class,
-    negative_controls, stratified_sample, snapshot_rows, unknown_id_guard, disjoint_family_guard, edge_order_guard,
-    representative_ids, report_families,
+    repair_assignments, repair_invariant, repair_leakage, moved_count, repair_splits_before, pair_metrics_exact,
+    phash_threshold_sweep, cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, fold_independence,
+    accuracy_by_class, negative_controls, stratified_sample, snapshot_rows, snapshot_hash, unknown_id_guard,
+    disjoint_family_guard, edge_order_guard, representative_ids, report_families,
 )
 QUERIES = {f.__name__: f for f in NAMES}

@@ -12,7 +12,7 @@ from twinsieve.operators import balance as B
 from twinsieve.operators import duplicates as D
 from twinsieve.operators import evidence as E
 from twinsieve.operators import synthetic as S
-from twinsieve.plans.queries import RATIOS, Audit
+from twinsieve.plans.queries import RATIOS, Audit, _repaired
 from twinsieve.runtime import materialise, table
 
 
@@ -23,8 +23,10 @@ def safe_text(text: Column) -> Column:
 
 
 def private_paths(spark, sf_dir):
-    """Notes with paths in them, scrubbed; one per page."""
-    note = F.concat(F.lit("read /srv/"), F.col("page_id").cast("string"), F.lit("/raw.html from C:\\data\\x for "), F.col("url"))
+    """Notes that hold paths of several forms, scrubbed; one per page."""
+    name = F.regexp_replace("url", "^[a-z]+://", "")
+    folder = F.element_at(F.array(*map(F.lit, ("/srv/", "C:\\data\\", "x:/", "(/home/", "rel/", '"/tmp/a/'))), (F.col("page_id") % 6 + 1).cast("int"))
+    note = F.concat(F.lit("read "), folder, name, F.lit(" of "), F.col("url"), F.lit(" and/or 1/2"))
     return table(spark, sf_dir, "pages").select("page_id", safe_text(note).alias("note"))
 
 
@@ -39,14 +41,11 @@ def report_evidence(spark, sf_dir):
 
 
 def report_repair_splits(spark, sf_dir):
-    """Counts per split before, and if each family went where its first record is."""
-    a = Audit(spark, sf_dir)
-    first = a.members.groupBy("root").agg(F.min("id").alias("first"))
-    home = first.join(a.records.select(F.col("id").alias("first"), F.col("split").alias("home")), "first").select("root", "home")
-    met = a.records.join(a.members, "id", "left").join(home, "root", "left").withColumn("after", F.coalesce("home", "split"))
-    before = met.groupBy("split").agg(F.count(F.lit(1)).alias("before"))
-    after = met.groupBy(F.col("after").alias("split")).agg(F.count(F.lit(1)).alias("after"))
-    return before.join(after, "split", "full_outer").select("split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+    """Records per split before and after the repair."""
+    out = _repaired(Audit(spark, sf_dir))
+    count = lambda c, name: out.groupBy(F.col(c).alias("split")).agg(F.count(F.lit(1)).alias(name))
+    met = count("original_split", "before").join(count("repaired_split", "after"), "split", "full_outer")
+    return met.select("split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
 
 
 def chained_fingerprint_pairs(spark, sf_dir):
@@ -110,9 +109,11 @@ CONSTRAINTS = (
     "cluster_of_two_or_more", "record_in_one_group", "record_has_group", "targets_sum_to_records",
 )
 BODIES = {
-    "private_paths": "SELECT page_id, 'read [private path] from [private path] for ' || url AS note FROM pages",
+    "private_paths": r"""SELECT page_id, regexp_replace(regexp_replace(note, '(^|[^A-Za-z0-9])[A-Za-z]:[\\/][^\s"''<>|]*', '\1[private path]', 'g'),
+  '(^|[\s"''(=])/[^\s/"''<>|]+/[^\s"''<>|]*', '\1[private path]', 'g') AS note
+FROM (SELECT page_id, 'read ' || (['/srv/', 'C:\data\', 'x:/', '(/home/', 'rel/', '"/tmp/a/'])[page_id % 6 + 1] || regexp_replace(url, '^[a-z]+://', '')
+  || ' of ' || url || ' and/or 1/2' AS note FROM pages)""",
     "report_evidence": "SELECT left_id || ' ~ ' || right_id AS pair, classification, decision, coalesce(phash_distance::VARCHAR, '—') AS distance, CASE WHEN exact_match THEN 'yes' ELSE 'no' END AS exact FROM edges",
-    "report_repair_splits": "SELECT split, coalesce(b, 0) AS before, coalesce(a, 0) AS after FROM (SELECT split, count(*) AS b FROM records GROUP BY 1) FULL JOIN (SELECT coalesce(h.split, r.split) AS split, count(*) AS a FROM records r LEFT JOIN members m ON m.id = r.id LEFT JOIN records h ON h.id = m.root GROUP BY 1) USING (split)",
     "chained_fingerprint_pairs": "SELECT printf('syn_%012d', i - 1) AS left_id, printf('syn_%012d', i) AS right_id, 1 AS distance FROM range(0, 2000) r(i) WHERE i % 23 = 1",
     "constraint_violations": "SELECT unnest([" + ", ".join(f"'{c}'" for c in CONSTRAINTS) + "]) AS \"constraint\", 0::BIGINT AS n",
 }
