@@ -10,6 +10,9 @@ from functools import lru_cache
 
 import numpy as np
 
+from twinsieve.functions.jpeg import JpegProblem, decode_jpeg, exif_orientation, upright
+from twinsieve.functions.tiff import TiffProblem, decode_tiff, tags
+
 FORMATS = ("bmp", "jpeg", "png", "tiff", "webp")
 
 
@@ -53,7 +56,7 @@ def _jpeg_size(data: bytes) -> tuple[int, int]:
 
 
 def header(data: bytes) -> tuple[str, int, int]:
-    """Format, width, height, without decoding pixels."""
+    """Format, width, height as seen (after the EXIF rotation), without decoding pixels."""
     kind = sniff(data)
     if kind is None:
         raise ImageProblem("malformed_image")
@@ -75,7 +78,7 @@ def header(data: bytes) -> tuple[str, int, int]:
         raise ImageProblem("malformed_image") from None
     if width <= 0 or height <= 0:
         raise ImageProblem("malformed_image")
-    return kind, width, height
+    return (kind, height, width) if orientation(data, kind) >= 5 else (kind, width, height)
 
 
 def _webp_size(data: bytes) -> tuple[int, int]:
@@ -90,14 +93,24 @@ def _webp_size(data: bytes) -> tuple[int, int]:
 
 
 def _tiff_size(data: bytes) -> tuple[int, int]:
-    end = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack(end + "I", data[4:8])[0]
-    found = {}
-    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        tag, kind, _, value = struct.unpack(end + "HHI4s", data[at + 2 + 12 * i : at + 14 + 12 * i])
-        if tag in (256, 257):
-            found[tag] = struct.unpack(end + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
-    return found.get(256, 0), found.get(257, 0)
+    try:
+        found = tags(data)
+        return found[256][0], found[257][0]
+    except (KeyError, struct.error):
+        raise ImageProblem("malformed_image") from None
+
+
+def orientation(data: bytes, kind: str) -> int:
+    """The EXIF orientation of a JPEG or TIFF, 1 for others and if there is none."""
+    try:
+        if kind == "jpeg":
+            return exif_orientation(data)
+        if kind == "tiff":
+            found = tags(data).get(274, [1])[0]
+            return found if 1 <= found <= 8 else 1
+    except (JpegProblem, KeyError, struct.error):
+        pass
+    return 1
 
 
 def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
@@ -187,8 +200,8 @@ def _decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes, max_pixels: int = 50_000_000) -> np.ndarray:
-    """RGB or RGBA pixels (height, width, channels) of a PNG or BMP. The other formats are
-    recognised and measured by ``header``, but there is no decoder for them here."""
+    """RGB or RGBA pixels (height, width, channels), upright, of a PNG, BMP, JPEG or TIFF. WEBP is
+    recognised and measured by ``header``, but there is no decoder for it here."""
     kind, width, height = header(data)
     if width * height > max_pixels:
         raise ImageProblem("image_too_large")
@@ -197,7 +210,11 @@ def decode(data: bytes, max_pixels: int = 50_000_000) -> np.ndarray:
             return _decode_png(data)
         if kind == "bmp":
             return _decode_bmp(data)
-    except (zlib.error, struct.error, ValueError, IndexError, TypeError):
+        if kind == "jpeg":
+            return decode_jpeg(data)
+        if kind == "tiff":
+            return upright(decode_tiff(data), orientation(data, kind))
+    except (zlib.error, struct.error, ValueError, IndexError, TypeError, JpegProblem, TiffProblem):
         raise ImageProblem("malformed_image") from None
     raise ImageProblem("unsupported_format")
 
@@ -271,6 +288,13 @@ def perceptual_hash(pixels: np.ndarray) -> int:
     return int("".join("01"[int(b)] for b in bits), 2)
 
 
+def pixel_digest(pixels: np.ndarray) -> str:
+    """SHA-256 of width and height (8 bytes each) and the RGB bytes, on white: equal for equal
+    pictures, however their files are written."""
+    rgb = np.ascontiguousarray(on_white(pixels))
+    return hashlib.sha256(rgb.shape[1].to_bytes(8, "big") + rgb.shape[0].to_bytes(8, "big") + rgb.tobytes()).hexdigest()
+
+
 def test_embedding(pixels: np.ndarray, dimension: int = 16, seed: int = 0) -> np.ndarray:
     """Unit vector derived from a hash of the pixels; equal images give equal vectors."""
     rgb = on_white(pixels) if pixels.shape[2] == 4 else pixels
