@@ -223,7 +223,7 @@ def test_divergence_values():
 
 def test_golden_repair(spark, tmp_path):
     rows = [(p, s, x) for p, s, x in PATHS]
-    manifest = sources.entries(spark, rows)
+    manifest = sources.entries_of(spark, rows)
     df = manifest.select("id", "path", "split", "label")
     root = df.agg(F.min("id")).first()[0]
     members = df.select("id", F.lit(root).alias("root"))

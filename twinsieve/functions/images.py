@@ -228,31 +228,44 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def _cubic(x: float) -> float:
+    """The convolution kernel with slope -1/2 at 1."""
+    x = abs(x)
+    return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+
+def _lanczos(x: float) -> float:
+    sinc = lambda v: 1.0 if v == 0 else math.sin(math.pi * v) / (math.pi * v)
+    return sinc(x) * sinc(x / 3) if -3 <= x < 3 else 0.0
+
+
+KERNELS = {"lanczos": (3, _lanczos), "bilinear": (1, lambda x: max(0.0, 1 - abs(x))), "bicubic": (2, _cubic)}
+
+
 @lru_cache(maxsize=256)
-def _taps(size: int, out: int) -> np.ndarray:
-    """Fixed-point Lanczos-3 weights (out x size), in units of 2**-22."""
+def _taps(size: int, out: int, kernel: str) -> np.ndarray:
+    """Fixed-point weights (out x size), in units of 2**-22."""
+    reach, weigh = KERNELS[kernel]
     scale = size / out
     stretch = max(scale, 1.0)
-    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
     weights = np.zeros((out, size), np.int64)
     for i in range(out):
         center = (i + 0.5) * scale
-        lo = max(0, int(center - 3 * stretch + 0.5))
-        hi = min(size, int(center + 3 * stretch + 0.5))
-        row = [(x + lo - center + 0.5) / stretch for x in range(hi - lo)]
-        row = [sinc(x) * sinc(x / 3) if -3 <= x < 3 else 0.0 for x in row]
+        lo = max(0, int(center - reach * stretch + 0.5))
+        hi = min(size, int(center + reach * stretch + 0.5))
+        row = [weigh((x - center + 0.5) / stretch) for x in range(lo, hi)]
         total = sum(row)
         weights[i, lo:hi] = [int(w / total * (1 << 22) + (0.5 if w / total >= 0 else -0.5)) for w in row]
     return weights
 
 
-def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Lanczos resize of uint8 pixels (2-d or with channels): along x, then along y."""
+def resize(pixels: np.ndarray, width: int, height: int, kernel: str = "lanczos") -> np.ndarray:
+    """Resize of uint8 pixels (2-d or with channels): along x, then along y."""
     whole = pixels if pixels.ndim == 3 else pixels[:, :, None]
     half = 1 << 21
-    across = np.einsum("ox,yxc->yoc", _taps(whole.shape[1], width), whole.astype(np.int64)) + half >> 22
+    across = np.einsum("ox,yxc->yoc", _taps(whole.shape[1], width, kernel), whole.astype(np.int64)) + half >> 22
     across = np.clip(across, 0, 255)
-    down = np.einsum("oy,yxc->oxc", _taps(whole.shape[0], height), across) + half >> 22
+    down = np.einsum("oy,yxc->oxc", _taps(whole.shape[0], height, kernel), across) + half >> 22
     out = np.clip(down, 0, 255).astype(np.uint8)
     return out if pixels.ndim == 3 else out[:, :, 0]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from twinsieve.functions.identity import hamming
 from twinsieve.operators.metrics import select_radius, sweep
 from twinsieve.runtime import materialise
-from twinsieve.sources.images import ManifestError, entries, normal_path, scan
+from twinsieve.sources.images import ManifestError, entries_of, scan, strict_path
 
 # Fixed value: the header of a fold.
 HEADER = ["left", "right", "label", "left_group", "right_group"]
+MOST_BYTES = 100 << 20  # of one file
 
 
 def read_pairs(path: str) -> list[tuple[str, str, int, str, str]]:
-    """Rows of a fold's CSV; raises on anything that the rules forbid."""
+    """Rows of a fold's CSV (labelled by hand, so the driver holds them); raises on anything that
+    the rules forbid."""
     with open(path, encoding="utf-8-sig", newline="") as file:
         lines = list(csv.reader(file))
     if not lines or lines[0] != HEADER:
@@ -26,7 +29,7 @@ def read_pairs(path: str) -> list[tuple[str, str, int, str, str]]:
     for number, cells in enumerate(lines[1:], start=2):
         if len(cells) != 5 or not all(c.strip() for c in cells):
             raise ManifestError(f"row {number} needs five values")
-        left, right = normal_path(cells[0]), normal_path(cells[1])
+        left, right = strict_path(cells[0].strip()), strict_path(cells[1].strip())
         label, groups = cells[2].strip(), (cells[3].strip(), cells[4].strip())
         if label not in ("0", "1") or (label == "1") != (groups[0] == groups[1]):
             raise ManifestError(f"row {number}: the label must say whether the groups are equal")
@@ -44,34 +47,40 @@ def read_pairs(path: str) -> list[tuple[str, str, int, str, str]]:
 
 
 def load_fold(spark: SparkSession, path: str, root: str, *, max_pixels: int = 50_000_000) -> DataFrame:
-    """``left, right, left_group, right_group, left_sha, right_sha, is_duplicate, distance``;
-    the distance of equal contents is -1, so that radius -1 means equal content alone."""
+    """``left, right, left_group, right_group, left_sha, right_sha, left_pixels, right_pixels,
+    is_duplicate, distance``; the distance of equal contents is -1, so that radius -1 means
+    equal content alone."""
     rows = read_pairs(path)
     paths = sorted({p for r in rows for p in r[:2]})
-    seen = materialise(scan(entries(spark, [(p, "custom", None) for p in paths]), root, max_pixels=max_pixels), "pair-images")
-    if not seen.where("issue IS NOT NULL OR fp IS NULL").isEmpty():
-        raise ManifestError("an image of a pair cannot be read")
-    one = seen.select("path", "byte_sha256", "fp")
+    manifest = entries_of(spark, [(p, "custom", None) for p in paths])
+    seen = materialise(scan(manifest, root, max_pixels=max_pixels), "pair-images")
+    if not seen.where(F.col("issue").isNotNull() | (F.col("byte_size") > MOST_BYTES)).isEmpty():
+        raise ManifestError("an image of a pair cannot be read or is too large")
+    one = seen.select("path", "byte_sha256", "pixel_sha256", "fp")
     pairs = spark.createDataFrame(rows, "left string, right string, label int, left_group string, right_group string")
-    met = pairs.join(one.toDF("left", "left_sha", "f1"), "left").join(one.toDF("right", "right_sha", "f2"), "right")
-    groups = met.select(F.col("left_sha").alias("s"), F.col("left_group").alias("g")).union(met.select("right_sha", "right_group")).distinct()
-    if not groups.groupBy("s").count().where("count > 1").isEmpty():
-        raise ManifestError("equal contents stand in two groups")
+    met = pairs.join(one.toDF("left", "left_sha", "left_pixels", "f1"), "left")
+    met = met.join(one.toDF("right", "right_sha", "right_pixels", "f2"), "right")
+    for kind in ("sha", "pixels"):
+        groups = met.select(F.col(f"left_{kind}").alias("s"), F.col("left_group").alias("g"))
+        groups = groups.union(met.select(f"right_{kind}", "right_group")).distinct()
+        if not groups.groupBy("s").count().where("count > 1").isEmpty():
+            raise ManifestError("equal contents or equal pixels stand in two groups")
     distance = F.when(F.col("left_sha") == F.col("right_sha"), -1).otherwise(hamming(F.col("f1"), F.col("f2")).cast("int"))
     return met.select(
-        "left", "right", "left_group", "right_group", "left_sha", "right_sha", (F.col("label") == 1).alias("is_duplicate"),
+        "left", "right", "left_group", "right_group", "left_sha", "right_sha", "left_pixels", "right_pixels", (F.col("label") == 1).alias("is_duplicate"),
         distance.alias("distance"),
     )
 
 
 def shared_between(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``what, n``: groups, paths and contents that stand in both folds (all must be 0)."""
+    """``what, n``: groups, paths, contents and pixels that stand in both folds (all must be 0)."""
     both = lambda df, x, y: df.select(F.col(x).alias("v")).union(df.select(y))
+    ends = (("groups", "left_group", "right_group"), ("paths", "left", "right"), ("contents", "left_sha", "right_sha"), ("pixels", "left_pixels", "right_pixels"))
     counts = [
         both(a, x, y).intersect(both(b, x, y)).agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
-        for name, x, y in (("groups", "left_group", "right_group"), ("paths", "left", "right"), ("contents", "left_sha", "right_sha"))
+        for name, x, y in ends
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return reduce(DataFrame.unionByName, counts)
 
 
 def evaluate_pairs(calibration: DataFrame, evaluation: DataFrame, *, minimum_precision: float = 0.95) -> dict:
