@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from twinsieve.plans.experiment import QUERIES as EXPERIMENT
 from twinsieve.plans.oracle import ORACLES
 from twinsieve.plans.queries import QUERIES as PLANS
 from twinsieve.plans.reports import QUERIES as REPORTS
 
-QUERIES = PLANS | REPORTS
+QUERIES = PLANS | REPORTS | EXPERIMENT
 
 SF = "/root/testdata/sf0.001"
 

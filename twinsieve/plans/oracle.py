@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from twinsieve.plans.experiment import BODIES as EXPERIMENT_BODIES
 from twinsieve.plans.queries import RATIOS
 from twinsieve.plans.reports import BODIES as REPORT_BODIES
 from twinsieve.sources.tables import COSINE, NEIGHBOURS, RADIUS
@@ -219,4 +220,4 @@ BODIES = {
     "report_families": "SELECT DISTINCT classification, f.family_id, array_to_string(list_sort(s), ',') AS splits, array_to_string(l, ',') AS labels FROM inside JOIN fam f USING (root) JOIN spans USING (root)",
 }
 
-ORACLES = {name: f"WITH RECURSIVE {BASE}\n{body}" for name, body in (BODIES | REPORT_BODIES).items()}
+ORACLES = {name: f"WITH RECURSIVE {BASE}\n{body}" for name, body in (BODIES | REPORT_BODIES | EXPERIMENT_BODIES).items()}
