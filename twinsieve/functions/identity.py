@@ -10,6 +10,11 @@ SPLITS = ("train", "val", "test", "custom")
 TARGETS = SPLITS[:3]
 CLASSES = ("exact", "transformed_duplicate", "semantic_candidate")
 KINDS = ("exact", "near", "semantic")
+#: Absolute paths, Windows then POSIX, and what stands in their place.
+PRIVATE = (
+    (r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s\"'<>|]*", "[private path]"),
+    (r"(^|[\s\"'(=])/[^\s/\"'<>|]+/[^\s\"'<>|]*", "$1[private path]"),
+)
 BOUNDARIES = (("train", "val"), ("train", "test"), ("val", "test"))
 
 

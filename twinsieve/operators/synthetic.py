@@ -249,16 +249,28 @@ def observations(spark: SparkSession, n: int, *, seed: int = 20260903) -> DataFr
     )
 
 
-def detection_benchmark(spark: SparkSession, n: int = 16, *, seed: int = 20260903, radius: int = 8, cosine: float = 0.95) -> DataFrame:
+#: What makes the vectors of the benchmark: a plain function of the pixels, no model.
+PROVENANCE = {
+    "backend": "custom", "model_identity": "custom:gray-thumbnail-8x8", "model_revision": None, "preprocessing_version": "gray-8x8-v1",
+    "device": "cpu", "is_synthetic": True,
+}
+COSINE_DETECTOR = "custom_embedding_cosine@" + hashlib.sha256(PROVENANCE["model_identity"].encode()).hexdigest()[:12]
+
+
+def detection_benchmark(
+    spark: SparkSession, n: int = 16, *, seed: int = 20260903, radius: int = 8, cosine: float = 0.95, radii: list[int] = RADII,
+    cosines: list[float] = COSINES,
+) -> DataFrame:
     """``detector, corruption, threshold, tp, fp, fn, tn, precision, recall, f1``."""
     pairs = materialise(observations(spark, n, seed=seed), "observations")
     named = lambda df, name: df.withColumn("detector", F.lit(name)).withColumn("threshold", F.col("threshold").cast("double"))
     single = lambda hit: pair_metrics(pairs, hit, "corruption").withColumn("threshold", F.lit(None))
+    both = F.col("exact_match") | (F.col("distance") <= radius) | (F.col("cosine") >= cosine)
     out = named(single(F.col("exact_match")), "sha256_exact")
     for part in (
-        named(sweep(pairs, RADII, lambda t: F.col("distance") <= t, "corruption"), "phash_hamming"),
-        named(sweep(pairs, COSINES, lambda t: F.col("cosine") >= t, "corruption"), "thumbnail_cosine"),
-        named(single(F.col("exact_match") | (F.col("distance") <= radius) | (F.col("cosine") >= cosine)), "combined"),
+        named(sweep(pairs, radii, lambda t: F.col("distance") <= t, "corruption"), "phash_hamming"),
+        named(sweep(pairs, cosines, lambda t: F.col("cosine") >= t, "corruption"), COSINE_DETECTOR),
+        named(single(both), f"combined_exact_phash_plus_{COSINE_DETECTOR}"),
     ):
         out = out.unionByName(part)
     return out.select("detector", "corruption", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1")

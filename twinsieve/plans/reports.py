@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.functions.identity import CLASSES, boundaries, family_id
+from twinsieve.functions.identity import CLASSES, PRIVATE, boundaries, family_id
 from twinsieve.operators import balance as B
 from twinsieve.operators import duplicates as D
 from twinsieve.operators import evidence as E
@@ -18,8 +18,9 @@ from twinsieve.runtime import materialise, table
 
 def safe_text(text: Column) -> Column:
     """Absolute paths, Windows or POSIX, become ``[private path]``."""
-    windows = F.regexp_replace(text, r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s\"'<>|]*", "[private path]")
-    return F.regexp_replace(windows, r"(^|[\s\"'(=])/[^\s/\"'<>|]+/[^\s\"'<>|]*", "$1[private path]")
+    for pattern, new in PRIVATE:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def private_paths(spark, sf_dir):
