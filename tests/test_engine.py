@@ -1,4 +1,3 @@
-import hashlib
 import itertools
 import json
 import os
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from twinsieve.functions import images
 from twinsieve.functions.identity import boundaries, family_id, pack_bits, stable_id
 from twinsieve.operators import balance, duplicates, evidence, metrics
-from twinsieve.operators.components import connected_components
+from twinsieve.operators.components import connected_components, merged_components
+from twinsieve.operators.synthetic import source_image
 from twinsieve.plans.audit import audit, repair
 from twinsieve.sources import images as sources
 from twinsieve.sources import sinks
@@ -26,13 +26,8 @@ GOLDEN_FAMILY = "family_f4f24c2c9b763fb84b88f822"
 GOLDEN_CSV = "66481f802039b34569802da3a1d751f1a522f2dba6615300f68338c5aeec2910"
 
 
-def example_image(seed=20260903):
-    mark = hashlib.sha256(struct.pack(">I", seed)).digest()
-    y, x = np.mgrid[0:72, 0:96]
-    checker = 43 * ((x // 9 + y // 7) % 2)
-    ring = ((x - 48) ** 2 + (y - 36) ** 2) // 31
-    red, green, blue = 3 * x + 5 * y + checker + mark[0], 7 * x + 2 * y + ring + mark[7], x + 11 * y + checker + mark[19]
-    return (np.dstack([red, green, blue]) % 256).astype(np.uint8)
+def example_image(seed=3):
+    return source_image(seed, 1, 96)[:72]
 
 
 # ---------------------------------------------------------------- ids
@@ -67,8 +62,23 @@ def test_pack_bits(spark):
 # ---------------------------------------------------------------- image kernels
 
 
-def test_golden_hash():
-    assert images.perceptual_hash(example_image()) == 7611732190421439121
+def slow_hash(pixels):
+    """The hash from the definition of the cosine transform, term by term."""
+    small = images.resize(images.gray(pixels), 32, 32).astype(float)
+    terms = []
+    for v in range(8):
+        for u in range(8):
+            total = sum(
+                small[y, x] * np.cos(np.pi * (2 * x + 1) * u / 64) * np.cos(np.pi * (2 * y + 1) * v / 64) for y in range(32) for x in range(32)
+            )
+            terms.append(total * (1 / np.sqrt(2) if u == 0 else 1) * (1 / np.sqrt(2) if v == 0 else 1) / 16)
+    middle = sorted(terms[1:])[31]
+    return int("0" + "".join("1" if t > middle else "0" for t in terms[1:]), 2)
+
+
+def test_hash_by_brute_force():
+    for seed in (1, 2):
+        assert images.perceptual_hash(example_image(seed)) == slow_hash(example_image(seed))
     assert images.perceptual_hash(np.zeros((9, 7, 3), np.uint8)) == 0
 
 
@@ -117,7 +127,7 @@ def records(spark, rows):
     )
 
 
-@pytest.mark.parametrize("radius", [0, 1, 8, 20])
+@pytest.mark.parametrize("radius", [0, 1, 3, 8, 20])
 def test_hamming_plans_agree_with_brute_force(spark, radius):
     rng = random.Random(radius)
     prints = [rng.getrandbits(63) for _ in range(24)]
@@ -130,7 +140,7 @@ def test_hamming_plans_agree_with_brute_force(spark, radius):
         first.setdefault(p, f"r{i:02}")
     want = {(a, b, (p ^ q).bit_count()) for (p, a), (q, b) in itertools.combinations([x for x in first.items() if x[0] is not None], 2) if (p ^ q).bit_count() <= radius}
     want = {(min(a, b), max(a, b), d) for a, b, d in want} | {(first[p], f"r{i:02}", 0) for i, p in enumerate(prints) if p is not None and first[p] != f"r{i:02}"}
-    for plan in ("loop", "bands", "auto"):
+    for plan in ("loop", "blocks", "auto"):
         assert {tuple(r) for r in duplicates.hamming_pairs(df, radius, plan=plan).collect()} == want
     hits = duplicates.hamming_search(df, df.where("id = 'r00'"), radius).collect()
     assert {(r.id, r.distance) for r in hits} == {
@@ -166,6 +176,33 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_with_hubs_and_later_links(spark):
+    rng = random.Random(8)
+
+    def brute(edges):
+        top = {}
+
+        def root(x):
+            top.setdefault(x, x)
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in edges:
+            low, high = sorted((root(a), root(b)))
+            top[high] = low
+        return {x: root(x) for x in top}
+
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000, 1000 + i) for i in range(1, 600)]
+    edges = [e for e in edges if e[0] != e[1]]
+    labels = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    assert {r.node: r.comp for r in labels.collect()} == brute(edges)
+    more = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(40)] + [(5, 1300)]
+    got = {r.node: r.comp for r in merged_components(labels, spark.createDataFrame(more, "a long, b long"), "a", "b").collect()}
+    want = brute(edges + more)
+    assert all(want[x] == c for x, c in got.items()) and set(got) >= {x for e in edges for x in e}
+
+
 # ---------------------------------------------------------------- evidence
 
 
@@ -246,7 +283,7 @@ def test_repair_improves_and_keeps_families():
     again = balance.plan_repair(rows[::-1], balance.normalise_ratios((0.6, 0.2, 0.2)), iterations=100, **options)
     assert again.splits == plans[2].splits
     empty = balance.plan_repair([], balance.normalise_ratios((0.6, 0.2, 0.2)), iterations=3, **options)
-    assert empty.splits == {} and "empty" in empty.warnings[0]
+    assert empty.splits == {} and "no records" in empty.warnings[0]
 
 
 def test_targets_and_ratios():
@@ -304,8 +341,15 @@ def test_audit_of_a_folder(spark, tmp_path):
     assert [r.kind for r in tables["conflicts"].collect()] == ["exact"]
     moved, plan = repair(tables, (0.6, 0.2, 0.2))
     assert moved.groupBy("family_id").agg(F.countDistinct("repaired_split").alias("n")).where("n > 1").count() == 0
-    n = sinks.materialise_dataset(str(root), tables["records"], moved, str(tmp_path / "out"))
-    assert n == 5 and (tmp_path / "out/manifest.csv").exists()
+    done = sinks.materialise_dataset(str(root), tables["records"], moved, str(tmp_path / "out"))
+    assert done["record_count"] == 5 and done["mode"] == "copy" and (tmp_path / "out/manifest.csv").exists()
+    assert len(os.listdir(tmp_path / "out/images")) == 5
+    linked = sinks.materialise_dataset(str(root), tables["records"], moved, str(tmp_path / "links"), link=True)
+    assert linked["mode"] == "symlink" and all(os.path.islink(tmp_path / "links/images" / n) for n in os.listdir(tmp_path / "links/images"))
+    assert linked["manifest_sha256"] == done["manifest_sha256"]
+    for place in (root / "inside", tmp_path):
+        with pytest.raises(sources.ManifestError):
+            sinks.materialise_dataset(str(root), tables["records"], moved, str(place))
     with pytest.raises(sources.ManifestError):
         sinks.materialise_dataset(str(root), tables["records"], moved, str(tmp_path / "out"))
     os.symlink(root / "train/cat/source.png", root / "train/cat/link.png")
@@ -323,6 +367,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"records": 1, "issues": {"malformed_image": 1}}
     assert main(["audit", str(tmp_path / "d"), "--output", str(tmp_path / "audit.json")]) == 0
     assert json.loads((tmp_path / "audit.json").read_bytes())["artifact_type"] == "audit"
+    capsys.readouterr()
+    assert main(["repair", str(tmp_path / "audit.json"), "--ratios", "0.5,0.25,0.25", "--output", str(tmp_path / "repair.json")]) == 0
+    assert main(["report", str(tmp_path / "audit.json"), "--repair", str(tmp_path / "repair.json"), "--output", str(tmp_path / "report")]) == 0
+    assert "Splits before and after" in (tmp_path / "report/report.md").read_text()
+    assert main(["repair", str(tmp_path / "repair.json"), "--ratios", "0.5,0.25,0.25"]) == 2
+    assert main(["audit", str(tmp_path / "nothing")]) == 2
+    assert str(tmp_path) not in capsys.readouterr().err
+    assert main(["version"]) == 0
 
 
 def test_report(spark, tmp_path):

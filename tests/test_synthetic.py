@@ -18,13 +18,13 @@ def test_corruptions_are_repeatable_and_differ():
 
 def test_detection_benchmark(spark):
     rows = {(r.detector, r.corruption, r.threshold): r for r in synthetic.detection_benchmark(spark, 8).collect()}
-    assert len(rows) == 7 * (1 + 6 + 5 + 1)
+    assert len(rows) == 8 * (1 + 6 + 5 + 1)
     for kind in synthetic.KINDS:
         exact = rows["sha256_exact", kind, None]
         assert (exact.precision, exact.recall) == ((1, 1) if kind in synthetic.SAME_BYTES else (0, 0))
         recalls = [rows["phash_hamming", kind, float(t)].recall for t in synthetic.RADII]
         assert recalls == sorted(recalls)
-    for kind in ("resize", "gaussian_blur", "brightness_shift"):
+    for kind in ("resize", "gaussian_blur", "brightness_shift", "jpeg_recompression"):
         assert rows["phash_hamming", kind, 8.0].recall == 1 and rows["phash_hamming", kind, 8.0].precision == 1
 
 
