@@ -80,7 +80,8 @@ def controlled_splits(
     give both conditions the same sizes."""
     chosen = materialise(chosen_rows(rows, sizes, seed=seed), "chosen")
     made = materialise(derivatives(contamination_sources(chosen, sizes), kind, derive), "derived")
-    same = made.join(chosen.select(F.col("id").alias("source_id"), F.col("digest").alias("was")), "source_id").where("digest = was")
+    was = chosen.select(F.col("id").alias("source_id"), F.col("content").cast("string").alias("was"))
+    same = made.join(was, "source_id").where(F.col("content").cast("string") == F.col("was"))
     if not same.isEmpty() or not collisions(chosen, made).isEmpty():
         raise ValueError("contents must be unique, and no derivative may equal its source or another row")
     columns = ["id", "label", "digest", "content", "role"]
@@ -157,6 +158,26 @@ CONSTRAINTS = (
 )
 
 
+def array_rows(spark, arrays, labels, *, name: str) -> DataFrame:
+    """``id, label, content, digest`` of images that are arrays (n, height, width, 3) of uint8 with
+    integer labels, as an experiment's rows; contents are pixel values from 0 to 1."""
+    import hashlib
+
+    import numpy as np
+
+    arrays, labels = np.asarray(arrays), np.asarray(labels)
+    if arrays.dtype != np.uint8 or arrays.ndim != 4 or arrays.shape[3] != 3 or labels.shape != (len(arrays),):
+        raise ValueError("arrays must be uint8 of shape (n, height, width, 3) with a label each")
+    if not np.issubdtype(labels.dtype, np.integer) or (labels < 0).any():
+        raise ValueError("labels must be integers from 0 on")
+    rows = []
+    for i, (pixels, label) in enumerate(zip(arrays, labels)):
+        size = pixels.shape[1].to_bytes(8, "big") + pixels.shape[0].to_bytes(8, "big")
+        digest = hashlib.sha256(size + np.ascontiguousarray(pixels).tobytes()).hexdigest()
+        rows.append((f"{name}_{i:08d}", str(int(label)), (pixels.reshape(-1) / 255).tolist(), digest))
+    return spark.createDataFrame(rows, "id string, label string, content array<double>, digest string")
+
+
 # ------------------------------------------------------------------ training
 
 

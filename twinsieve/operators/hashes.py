@@ -17,7 +17,7 @@ SCHEMA = "dataset-snapshot-v1"
 
 def _quoted(text: Column) -> Column:
     """A JSON string, escaped as a canonical writer without ASCII escapes does."""
-    out = F.regexp_replace(text, r'([\\\\"])', r"\\\\$1")
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for char, escape in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         out = F.replace(out, F.lit(char), F.lit("\\" + escape))
     for code in [c for c in range(32) if chr(c) not in "\n\r\t\b\f"]:
