@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.runtime import drop_materialised, materialise
+from twinsieve.runtime import drop_materialised, materialise, ship_package
 
 #: A node with more than this part of all edges is a hub: there are at most 2 * HUBS of them.
 HUBS = 400
@@ -35,9 +38,36 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(met.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds: int = 100) -> DataFrame:
+def _merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges, which one task has."""
+    top: dict = {}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    def seen(x):
+        top.setdefault(x, x)
+        return root(x)
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            low, high = sorted((seen(u), seen(v)))
+            top[high] = low
+    if top:
+        nodes = list(top)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "comp"])
+
+
+def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds: int = 100, one_task: int = 0) -> DataFrame:
     """``node, comp`` for each node that has an edge; ``comp`` is the least node reachable.
 
+    If there are no more than ``one_task`` edges (they are counted), one task merges them all;
+    the result is the same.
+
     Ids may be of any orderable type. Edges with a null end and loops are ignored. Each
     round is a few keyed shuffles of the edges, written to the shared folder; the rounds
     grow with the logarithm of the longest path. No task holds a whole component, and none
@@ -51,6 +81,10 @@ def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds:
         "components",
     )
     total, mark = now.count(), None
+    if total <= one_task:
+        ship_package(now.sparkSession)
+        kind = dict(now.dtypes)["u"]
+        return now.coalesce(1).mapInArrow(_merge_all, f"node {kind}, comp {kind}")
     for _ in range(max_rounds):
         pulled = materialise(_large_star(now, total), "components")
         stars = materialise(_small_star(pulled, total), "components")

@@ -91,7 +91,7 @@ def merge_evidence(
 
 def membership(edges: DataFrame) -> DataFrame:
     """``id, root`` of the components of the definite edges."""
-    found = connected_components(edges.where("decision = 'definite'"), "left_id", "right_id")
+    found = connected_components(edges.where("decision = 'definite'"), "left_id", "right_id", one_task=200_000)
     return found.select(F.col("node").alias("id"), F.col("comp").alias("root"))
 
 
