@@ -332,7 +332,8 @@ def near_duplicates(
     signed = signatures(texts)
     tops = _label_sets(texts, signed, width=width, percent=percent)
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & F.col("doc_id").isNotNull()
-    found = signed.join(tops.withColumnsRenamed({"d1": "e1", "d2": "e2"}), same, "left")
+    # A row for each distinct set: never to be broadcast, however well its files compress.
+    found = signed.join(tops.withColumnsRenamed({"d1": "e1", "d2": "e2"}).hint("merge"), same, "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id"))
     if numbered is not None:
         found = materialise(found, "near-found")
