@@ -1,4 +1,6 @@
-"""Configurations: audit, benchmark and experiment, from YAML or plain mappings, checked strictly."""
+"""Configurations: audit, benchmark and experiment, from YAML or plain mappings, checked strictly.
+
+Fixed values: the names of sections and fields, their defaults and the names that they may hold."""
 
 from __future__ import annotations
 

@@ -300,7 +300,7 @@ def _check_repair(r: dict) -> None:
 
 
 def detector_name(p: dict) -> str:
-    """The detector's label, which says what made the vectors."""
+    """The detector's label, which says what made the vectors (fixed values)."""
     import hashlib
 
     if p["backend"] == "fake":

@@ -17,7 +17,9 @@ from twinsieve.operators import synthetic as S
 from twinsieve.runtime import materialise
 from twinsieve.sources.images import image_folder, scan
 
+# What memory figures cover, and the mode of the check by all pairs.
 SCOPE = "python_allocations_via_tracemalloc"  # of the driver
+BRUTE = "brute_force_reference_small_n_only"
 ROW = (
     "dataset_size long, stage string, mode string, duration_seconds double, peak_memory_bytes long, memory_measurement_scope string, recall_at_k double"
 )
@@ -26,7 +28,6 @@ AUDIT_STAGES = (
     "manifest_discovery", "image_validation_sha256", "phash_computation", "phash_index_build", "phash_query", "image_embedding",
     "embedding_index_build", "embedding_query",
 )
-BRUTE = "brute_force_reference_small_n_only"
 
 
 def measured(work: Callable):

@@ -58,15 +58,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._twinsieve_path = path
+    return written
 
 
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` returned."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(name)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._twinsieve_path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
