@@ -67,6 +67,7 @@ def op7_personal_data(spark, sf_dir):
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.concat("base", "found")).alias("spans"),
         F.size("found").cast("long").alias("n_found"),
+        (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
     )
 
 
@@ -79,6 +80,7 @@ def op8_secret_scan(spark, sf_dir):
         F.sha2(secrets.joined(F.filter("items", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         secrets.joined(F.col("items")).alias("spans"),
         F.size(F.filter("items", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size("items").cast("long").alias("n_spans"),
     )
 
 
