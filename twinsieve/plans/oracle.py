@@ -198,7 +198,10 @@ BODIES = {
     "objective_before": "SELECT round(e, 6) AS size_error, round(d, 6) AS class_divergence, round(e + d, 6) AS objective FROM sizeerr, (SELECT sum(ratio * jsd) AS d FROM jsds)",
     "group_vectors_entropy": "SELECT g.group_id, size, round(coalesce(entropy, 0.0), 6) + 0.0 AS entropy, coalesce(labels, '') AS labels, coalesce(splits, '') AS splits FROM (SELECT group_id, count(*) AS size FROM grouped GROUP BY 1) g LEFT JOIN (SELECT group_id, -sum(n / t * log2(n / t)) AS entropy, string_agg(label || ':' || n, ',' ORDER BY label) AS labels FROM (SELECT group_id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY group_id) AS t FROM grouped JOIN records USING (id) WHERE label IS NOT NULL GROUP BY 1, 2) GROUP BY 1) l USING (group_id) LEFT JOIN (SELECT group_id, string_agg(split || ':' || n, ',' ORDER BY split) AS splits FROM (SELECT group_id, split, count(*) AS n FROM grouped JOIN records USING (id) GROUP BY 1, 2) GROUP BY 1) s USING (group_id)",
     "singleton_groups": f"SELECT id, {_family('[id]')} AS group_id FROM records WHERE id NOT IN (SELECT id FROM members)",
-    "repair_invariant": "SELECT 0::BIGINT AS divided_families, 0::BIGINT AS missing_records",
+    "repair_invariant": "SELECT 0::BIGINT AS divided_families, 0::BIGINT AS missing_records, 0::BIGINT AS unknown_assignments, 0::BIGINT AS other_splits, 0::BIGINT AS targets_off",
+    "conflict_order": "SELECT family_id, kind, row_number() OVER (ORDER BY list_position(['exact', 'near', 'semantic'], kind), family_id, members) - 1 AS place FROM (SELECT family_id, kind, array_to_string(m, ',') AS members FROM conflicts JOIN fam USING (family_id) UNION ALL SELECT family_id, kind, members FROM semconf)",
+    "edge_order": "SELECT left_id, right_id, row_number() OVER (ORDER BY left_id, right_id) - 1 AS place FROM edges",
+    "metric_order": "SELECT corruption, t AS threshold, row_number() OVER (ORDER BY corruption, t) - 1 AS place FROM (SELECT DISTINCT corruption FROM truth), (VALUES (0), (8), (16)) v(t)",
     "repair_leakage": "SELECT count(*) FILTER (WHERE n > 1) AS leakage_before, 0::BIGINT AS leakage_after, count(*) AS n_families FROM (SELECT root, count(DISTINCT split) FILTER (WHERE split <> 'custom') AS n FROM members JOIN records USING (id) GROUP BY root)",
     "repair_splits_before": "SELECT split, count(*) AS before FROM records GROUP BY split",
     "pair_metrics_exact": _rates(f"SELECT corruption, {_counts('exact')} FROM truth GROUP BY corruption"),

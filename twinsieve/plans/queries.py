@@ -263,6 +263,23 @@ def conflict_counts(spark, sf_dir):
     )
 
 
+def conflict_order(spark, sf_dir):
+    """Conflicts in the order of kind, family and members."""
+    a = Audit(spark, sf_dir)
+    names = a.members.groupBy("root").agg(F.collect_set("id").alias("m"))
+    names = names.select("root", family_id(F.col("m")).alias("family_id"), F.array_join(F.array_sort("m"), ",").alias("members"))
+    sure = E.definite_conflicts(a.records, a.members, a.edges).join(names, "root").select("family_id", "members", "kind")
+    every = sure.unionByName(E.semantic_conflicts(a.records, a.members, a.edges).select("family_id", "members", "kind"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return _numbered(every, [rank, "family_id", "members"], "place").select("family_id", "kind", "place")
+
+
+def edge_order(spark, sf_dir):
+    """Edges in the order of their ends."""
+    e = Audit(spark, sf_dir).edges.select("left_id", "right_id")
+    return _numbered(e, ["left_id", "right_id"], "place")
+
+
 def split_statistics(spark, sf_dir):
     return B.split_statistics(all_records(spark, sf_dir))
 
@@ -305,14 +322,19 @@ def repair_assignments(spark, sf_dir):
 
 
 def repair_invariant(spark, sf_dir):
-    """Families that the repair divides (0) and records without an assignment (0)."""
+    """Families that the repair divides, records without an assignment, assignments without a
+    record or with another original split, and targets that do not sum up (0 everywhere)."""
     a = Audit(spark, sf_dir)
-    out, _ = B.repair_splits(a.records, a.members, RATIOS)
+    out, plan = B.repair_splits(a.records, a.members, RATIOS)
     out = materialise(out, "assignments")
     divided = out.groupBy("family_id").agg(F.min("repaired_split").alias("lo"), F.max("repaired_split").alias("hi"))
     divided = divided.agg(F.count_if(F.col("lo") != F.col("hi")).alias("divided_families"))
-    missing = a.records.join(out, F.col("id") == F.col("record_id"), "left_anti").agg(F.count(F.lit(1)).alias("missing_records"))
-    return divided.join(missing)
+    met = a.records.join(out, F.col("id") == F.col("record_id"), "full_outer").agg(
+        F.count_if(F.col("record_id").isNull()).alias("missing_records"), F.count_if(F.col("id").isNull()).alias("unknown_assignments"),
+        F.count_if(F.col("split") != F.col("original_split")).alias("other_splits"),
+        (F.count("id") - F.lit(sum(plan.targets.values()))).alias("targets_off"),
+    )
+    return divided.join(met)
 
 
 def _repaired(a: Audit):
@@ -367,6 +389,12 @@ def phash_threshold_sweep(spark, sf_dir):
     return _rounded(M.sweep(_truth(spark, sf_dir), [0, 4, 8, 16, 24, 28, 32], lambda t: F.col("distance") <= t, "corruption"))
 
 
+def metric_order(spark, sf_dir):
+    """Rows of a sweep in the order of corruption and threshold."""
+    rows = M.sweep(_truth(spark, sf_dir), [0, 8, 16], lambda t: F.col("distance") <= t, "corruption")
+    return _numbered(rows, ["corruption", "threshold"], "place").select("corruption", "threshold", "place")
+
+
 def cosine_threshold_sweep(spark, sf_dir):
     reached = F.array(*[F.lit(0.0), *map(F.lit, LEVELS)])
     return _rounded(M.sweep(_truth(spark, sf_dir), LEVELS, lambda t: F.get(reached, F.col("level")) >= t))
@@ -480,7 +508,7 @@ NAMES = (
     exact_cross_split, exact_boundary_counts, fingerprint_pack, hamming_pairs_bnlj, hamming_pairs_banded, hamming_pairs_auto,
     hamming_point_query, knn_exact_topk, cosine_threshold_pairs, ann_recall, recall_at_k, evidence_merge, edge_classify,
     edge_confidence, policy_variants, families, family_edge_counts, leakage_groups, leakage_boundary_counts, leakage_summary,
-    semantic_reviews_cross_split, label_conflicts, conflict_counts, semantic_conflicts, split_statistics, class_histogram,
+    semantic_reviews_cross_split, label_conflicts, conflict_counts, semantic_conflicts, conflict_order, edge_order, metric_order, split_statistics, class_histogram,
     largest_remainder_targets, split_size_error, jsd_by_split, objective_before, group_vectors_entropy, singleton_groups,
     repair_assignments, repair_invariant, repair_leakage, moved_count, repair_splits_before, pair_metrics_exact,
     phash_threshold_sweep, cosine_threshold_sweep, combined_policy_metrics, labeled_pair_sweep, select_radius, fold_independence,
