@@ -205,6 +205,37 @@ def test_every_broken_image_has_a_code():
         images.decode(webp)
 
 
+def write_png(p, depth, color, interlace):
+    """A PNG without filters, of samples of ``depth`` bits (height, width, channels)."""
+    height, width, channels = p.shape
+    raw = b""
+    for x, y, dx, dy in images.PASSES if interlace else ((0, 0, 1, 1),):
+        part = p[y::dy, x::dx]
+        if not part.size:
+            continue
+        for row in part.reshape(len(part), -1):
+            bits = "".join(format(int(v), f"0{depth}b") for v in row)
+            bits += "0" * (-len(bits) % 8)
+            raw += b"\0" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    head = struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, interlace)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlace", [0, 1])
+def test_png_depths_and_interlacing(interlace):
+    rng = np.random.default_rng(7)
+    for height, width in ((1, 1), (3, 5), (8, 8), (13, 21)):
+        for depth in (1, 2, 4, 8, 16):
+            gray = rng.integers(0, 1 << depth, (height, width, 1))
+            want = gray >> 8 if depth == 16 else gray * 255 // ((1 << depth) - 1)
+            out = images.decode(write_png(gray, depth, 0, interlace))
+            assert out.shape == (height, width, 3) and (out == want).all()
+        for depth in (8, 16):
+            rgba = rng.integers(0, 1 << depth, (height, width, 4))
+            assert (images.decode(write_png(rgba, depth, 6, interlace)) == rgba >> (depth - 8)).all()
+
+
 def test_pixel_digest_is_of_the_picture():
     p = picture()
     assert images.pixel_digest(images.decode(images.encode_png(p))) == images.pixel_digest(images.decode(write_tiff(p, 5)))

@@ -144,6 +144,10 @@ def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return rows
 
 
+# First column, first row and steps of the passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def _decode_png(data: bytes) -> np.ndarray:
     at, body, palette, clear = 8, [], None, None
     width, height, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
@@ -162,21 +166,27 @@ def _decode_png(data: bytes) -> np.ndarray:
             break
         at += 12 + size
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
-    if channels is None or interlace or depth not in (1, 2, 4, 8, 16):
+    if channels is None or interlace > 1 or depth not in (1, 2, 4, 8, 16):
         raise ImageProblem("malformed_image")
-    stride = (width * channels * depth + 7) // 8
-    raw = zlib.decompress(b"".join(body))
-    if len(raw) < height * (stride + 1):
-        raise ImageProblem("malformed_image")
-    rows = _unfilter(raw, height, stride, max(1, channels * depth // 8))
-    if depth == 16:
-        rows = rows[:, ::2]
-    elif depth < 8:
-        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
-        rows = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)[:, : width * channels]
-        if color == 0:
-            rows = (rows.astype(np.int32) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    pixels = rows.reshape(height, width, channels)
+    raw, used = zlib.decompress(b"".join(body)), 0
+    pixels = np.zeros((height, width, channels), np.uint8)
+    for x, y, dx, dy in PASSES if interlace else ((0, 0, 1, 1),):
+        wide, high = -(-(width - x) // dx), -(-(height - y) // dy)
+        if wide <= 0 or high <= 0:
+            continue
+        stride = (wide * channels * depth + 7) // 8
+        if len(raw) < used + high * (stride + 1):
+            raise ImageProblem("malformed_image")
+        rows = _unfilter(raw[used : used + high * (stride + 1)], high, stride, max(1, channels * depth // 8))
+        used += high * (stride + 1)
+        if depth == 16:
+            rows = rows[:, ::2]
+        elif depth < 8:
+            bits = np.unpackbits(rows, axis=1).reshape(high, -1, depth)
+            rows = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)[:, : wide * channels]
+            if color == 0:
+                rows = (rows.astype(np.int32) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+        pixels[y::dy, x::dx] = rows.reshape(high, wide, channels)
     if color == 3:
         alpha = np.full(256, 255, np.uint8)
         if clear:
