@@ -197,7 +197,7 @@ def _label_sets(texts: DataFrame, signed: DataFrame, *, width: int, percent: int
     links = keep(confirmed(stars.where(fits(F.col("na"), F.col("nb"))).select("a", "b")), "near-links")
     labels = keep(connected_components(links, "a", "b"), "near-labels")
 
-    def open_members() -> DataFrame:
+    def open_members(labels: DataFrame) -> DataFrame:
         """``rep, n, fam, comp`` of the families that lie in several components so far."""
         placed = (
             families.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -207,63 +207,71 @@ def _label_sets(texts: DataFrame, signed: DataFrame, *, width: int, percent: int
         split = placed.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return keep(_meet(placed, split.select("fam")).select("rep", "n", "fam", "comp"), "near-open")
 
-    unsettled = open_members()
-    grams = keep(
-        unsettled.select("rep", "fam")
-        .join(known.withColumnRenamed("doc_id", "rep"), "rep")
-        .select("fam", "rep", "text")
-        .mapInArrow(lambda it: gram_batches(it, width=width), "fam long, rep long, g long"),
-        "near-grams",
-    )
-    sizes = unsettled.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
-    counted = grams.groupBy("fam", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("g", "rep")
-    often = keep(
-        _meet(counted, sizes).select("fam", F.col("rep").alias("g"), "df", (2 * F.col("df") >= F.col("k")).alias("core")), "near-often"
-    )
-    shared_grams = keep(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "df", "core"), "near-shared")
-    parts = shared_grams.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.count_if("core").alias("c"))
-    cores = sizes.select("fam").join(often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size")), "fam", "left")
-    measured = keep(
-        _meet(unsettled.select("rep", "n", "fam").join(parts, "rep"), cores.fillna(0)).select("rep", "n", "fam", "m", "c", "core_size"),
-        "near-measured",
-    )
-    nearest = measured.groupBy("fam").agg(
-        F.max(F.struct((F.col("c") / (F.col("n") + F.col("core_size") - F.col("c"))).alias("j"), (-F.col("rep")).alias("r"), F.col("n"))).alias("hub")
-    )
-    nearest = nearest.select("fam", (-F.col("hub.r")).alias("hub"), F.col("hub.n").alias("hub_n"))
-    pairs = (
-        _meet(unsettled, nearest)
-        .where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    )
-    more = keep(confirmed(pairs), "near-links")
-    labels = keep(merged_components(labels, more, "a", "b"), "near-labels")
-
-    # m counts what a member can have in common with any other at all, c its part of the core.
-    left = open_members().join(measured.select("rep", "m", "c"), "rep")
-    left = keep(left.where(100 * F.col("m") >= percent * F.col("n")), "near-left")
-    able = 100 * F.col("c") >= percent * F.col("n")
-    apart = F.col("comp1") != F.col("comp2")
-    renamed = lambda df, *keys: df.select(*keys, *[F.col(x).alias(x + "1") for x in ("rep", "n", "comp", "m", "c")])
-    second = lambda df, *keys: df.select(*keys, "rep", *[F.col(x).alias(x + "2") for x in ("n", "comp", "m", "c")])
-    major = left.where(able).groupBy("fam", "comp").count().groupBy("fam").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    minor = _meet(left.where(able), major).where(F.col("comp") != F.col("main"))
-    in_core = _meet(second(left.where(able), "fam"), renamed(minor, "fam")).where(
-        apart & enough(F.least("c1", "c2"), F.col("n1"), F.col("n2"))
-    )
-    # Of two sets that reach the similarity, one of the shared grams is among the rarest of
-    # both (prefix filter): n - percent % of n + 1 of all, of which n - m are not shared at all.
-    floor = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "g"))
-    early = shared_grams.withColumn("place", rarest).where(~F.col("core")).select("rep", "g", "place").join(left, "rep")
-    early = early.where(F.col("place") <= F.col("m") - floor + 1)
-    outside = renamed(early, "fam", "g").join(second(early, "fam", "g"), ["fam", "g"]).where(
-        (F.col("rep1") < F.col("rep")) & apart & enough(F.least("m1", "m2"), F.col("n1"), F.col("n2"))
-    )
-    ends = lambda df: df.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b"))
-    pairs = keep(ends(in_core).unionByName(ends(outside)).distinct(), "near-pairs")
-    if not pairs.isEmpty():
-        labels = keep(merged_components(labels, keep(confirmed(pairs), "near-links"), "a", "b"), "near-labels")
+    def settled(labels: DataFrame, unsettled: DataFrame) -> DataFrame:
+        """``labels`` after the open families are resolved through their cores."""
+        grams = keep(
+            unsettled.select("rep", "fam")
+            .join(known.withColumnRenamed("doc_id", "rep"), "rep")
+            .select("fam", "rep", "text")
+            .mapInArrow(lambda it: gram_batches(it, width=width), "fam long, rep long, g long"),
+            "near-grams",
+        )
+        sizes = unsettled.groupBy("fam").agg(F.count(F.lit(1)).alias("k"))
+        counted = grams.groupBy("fam", "g").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("g", "rep")
+        often = keep(
+            _meet(counted, sizes).select("fam", F.col("rep").alias("g"), "df", (2 * F.col("df") >= F.col("k")).alias("core")), "near-often"
+        )
+        shared_grams = keep(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "df", "core"), "near-shared")
+        parts = shared_grams.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.count_if("core").alias("c"))
+        cores = sizes.select("fam").join(often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size")), "fam", "left")
+        measured = keep(
+            _meet(unsettled.select("rep", "n", "fam").join(parts, "rep"), cores.fillna(0)).select("rep", "n", "fam", "m", "c", "core_size"),
+            "near-measured",
+        )
+        nearest = measured.groupBy("fam").agg(
+            F.max(F.struct((F.col("c") / (F.col("n") + F.col("core_size") - F.col("c"))).alias("j"), (-F.col("rep")).alias("r"), F.col("n"))).alias("hub")
+        )
+        nearest = nearest.select("fam", (-F.col("hub.r")).alias("hub"), F.col("hub.n").alias("hub_n"))
+        pairs = (
+            _meet(unsettled, nearest)
+            .where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
+            .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        )
+        more = keep(confirmed(pairs), "near-links")
+        labels = keep(merged_components(labels, more, "a", "b"), "near-labels")
+
+        # m counts what a member can have in common with any other at all, c its part of the core.
+        left = open_members(labels).join(measured.select("rep", "m", "c"), "rep")
+        left = keep(left.where(100 * F.col("m") >= percent * F.col("n")), "near-left")
+        if left.isEmpty():
+            return labels
+        able = 100 * F.col("c") >= percent * F.col("n")
+        apart = F.col("comp1") != F.col("comp2")
+        renamed = lambda df, *keys: df.select(*keys, *[F.col(x).alias(x + "1") for x in ("rep", "n", "comp", "m", "c")])
+        second = lambda df, *keys: df.select(*keys, "rep", *[F.col(x).alias(x + "2") for x in ("n", "comp", "m", "c")])
+        major = left.where(able).groupBy("fam", "comp").count().groupBy("fam").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+        minor = _meet(left.where(able), major).where(F.col("comp") != F.col("main"))
+        in_core = _meet(second(left.where(able), "fam"), renamed(minor, "fam")).where(
+            apart & enough(F.least("c1", "c2"), F.col("n1"), F.col("n2"))
+        )
+        # Of two sets that reach the similarity, one of the shared grams is among the rarest of
+        # both (prefix filter): n - percent % of n + 1 of all, of which n - m are not shared at all.
+        floor = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+        rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "g"))
+        early = shared_grams.withColumn("place", rarest).where(~F.col("core")).select("rep", "g", "place").join(left, "rep")
+        early = early.where(F.col("place") <= F.col("m") - floor + 1)
+        outside = renamed(early, "fam", "g").join(second(early, "fam", "g"), ["fam", "g"]).where(
+            (F.col("rep1") < F.col("rep")) & apart & enough(F.least("m1", "m2"), F.col("n1"), F.col("n2"))
+        )
+        ends = lambda df: df.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b"))
+        pairs = keep(ends(in_core).unionByName(ends(outside)).distinct(), "near-pairs")
+        if not pairs.isEmpty():
+            labels = keep(merged_components(labels, keep(confirmed(pairs), "near-links"), "a", "b"), "near-labels")
+        return labels
+
+    unsettled = open_members(labels)
+    if not unsettled.isEmpty():
+        labels = settled(labels, unsettled)
     tops = materialise(
         reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("d1", "d2", F.coalesce("comp", "rep").alias("top")),
