@@ -221,7 +221,7 @@ def _label_sets(texts: DataFrame, signed: DataFrame, *, width: int, percent: int
         often = keep(
             _meet(counted, sizes).select("fam", F.col("rep").alias("g"), "df", (2 * F.col("df") >= F.col("k")).alias("core")), "near-often"
         )
-        shared_grams = keep(grams.join(often, ["fam", "g"]).select("fam", "rep", "g", "df", "core"), "near-shared")
+        shared_grams = keep(grams.join(often.hint("merge"), ["fam", "g"]).select("fam", "rep", "g", "df", "core"), "near-shared")
         parts = shared_grams.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.count_if("core").alias("c"))
         cores = sizes.select("fam").join(often.where("core").groupBy("fam").agg(F.count(F.lit(1)).alias("core_size")), "fam", "left")
         measured = keep(
