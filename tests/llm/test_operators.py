@@ -327,13 +327,20 @@ def test_forest_scores_by_brute_force():
 
 def test_calibrated_threshold_by_brute_force():
     rng = random.Random(17)
-    for _ in range(20):
-        good = Counter(rng.randint(4000, 4300) for _ in range(200))
+    for n_good in (10, 200, 200, 200, 1000, 1000):
+        good = Counter(rng.randint(4000, 4300) for _ in range(n_good))
         bad = Counter(rng.randint(4200, 4600) for _ in range(30))
-        cost = lambda cut: 20 * sum(n for b, n in good.items() if b >= cut) / 200 + sum(n for b, n in bad.items() if b < cut) / 30
+        lost = lambda cut: sum(n for b, n in good.items() if b >= cut)
+        cost = lambda cut: 20 * (lost(cut) + 1) / (n_good + 2) + sum(n for b, n in bad.items() if b < cut) / 30
+        least = min(cost(c) for c in range(3900, 4700))
         cut = round(quality.calibrated(good, bad, weight=20) * quality.BINS)
-        assert cost(cut) == pytest.approx(min(cost(c) for c in range(3900, 4700)))
-    assert quality.calibrated({}, {3: 1}, weight=20) is None and quality.calibrated({3: 1}, {}, weight=20) == 4 / quality.BINS
+        if least < 1:
+            assert cost(cut) == pytest.approx(least)
+        else:  # ten good rows cannot speak for any cut
+            assert cut == quality.BINS + 1
+        assert (least >= 1) == (n_good == 10)
+    nothing = (quality.BINS + 1) / quality.BINS
+    assert quality.calibrated({}, {3: 1}, weight=20) is None and quality.calibrated({3: 1}, {}, weight=20) == nothing
 
 
 def test_quality_held_out_accuracy(spark):

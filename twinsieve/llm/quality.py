@@ -149,20 +149,22 @@ def _score_batches(batches: Iterator[pa.RecordBatch], forest: IsolationForest) -
 def calibrated(good: dict[int, int], bad: dict[int, int], *, weight: float) -> float | None:
     """Score from which on rows are rejected, from labelled counts by bin (``BINS`` a unit).
 
-    Of the cuts with the least ``weight`` * lost part of the good + missed part of the bad,
-    the middle of the first run; without bad rows, just above the highest good one.
+    Of the cuts with the least ``weight`` * part of the good that is lost + part of the bad
+    that is missed, the middle of the first run. The lost part is what is to be expected of
+    rows not seen, (lost + 1) / (good + 2); so a cut that few good rows speak for is not made,
+    and neither is one without bad rows: then the score is beyond 1 and rejects nothing.
     """
     if not good:
         return None
-    if not bad:
-        return (max(good) + 1) / BINS
     n_good, n_bad = sum(good.values()), sum(bad.values())
     above, missed, costs = n_good, 0, []
-    for cut in range(BINS + 2):  # rows in bins of at least ``cut`` are rejected
-        costs.append(weight * above / n_good + missed / n_bad)
+    for cut in range(BINS + 1):  # rows in bins of at least ``cut`` are rejected
+        costs.append(weight * (above + 1) / (n_good + 2) + (missed / n_bad if n_bad else 0))
         above -= good.get(cut, 0)
         missed += bad.get(cut, 0)
     first = min(range(len(costs)), key=costs.__getitem__)
+    if not n_bad or costs[first] >= 1:  # the cost of rejecting nothing
+        return (BINS + 1) / BINS
     last = first
     while last + 1 < len(costs) and costs[last + 1] == costs[first]:
         last += 1
@@ -189,8 +191,9 @@ def quality_rules(
     The forest is fitted on a bounded sample of labelled rows: the ``fit_rows`` that pass the
     base rules with the least id hash. Statistics, scores and the threshold cover all
     rows: the threshold is ``calibrated`` on all labelled documents that pass the base
-    rules, where the loss of a part of the good ones counts ``weight`` times as much as
-    missing the same part of the bad ones. ``kept`` is true below it; rows of equal
+    rules, where losing a part of the good ones (as expected from their number) counts
+    ``weight`` times as much as missing the same part of the bad ones; too few good rows, or no
+    bad ones, reject nothing. ``kept`` is true below it; rows of equal
     statistics have equal verdicts.
 
     Ids are integers. Null or empty text: all counts 0, fails the base rules. Texts of any
