@@ -655,6 +655,84 @@ def test_personal_data_bootstrap_by_brute_force(spark):
     assert got == {i: want.get(i, set()) for i in range(900)} and sum(map(len, want.values())) > 200
 
 
+def brute_background(texts):
+    """Places by pattern: two words without a digit or @, at most 80 characters with their blanks, and no token behind."""
+    out = Counter()
+    for text in texts:
+        words = [(m.start(), m[0]) for m in re.finditer(rf"[^{BLANK}]+", text)]
+        plain = [not re.search("[0-9@]", w) for _, w in words] + [True]
+        for i in range(len(words) - 1):
+            end = words[i + 2][0] if i + 2 < len(words) else len(text) + 1
+            cut = words[i][1][max(0, end - 80 - words[i][0]) :]
+            if cut and plain[i] and plain[i + 1] and plain[i + 2]:
+                out[f"{cut} {words[i + 1][1]}".lower()] += 1
+    return out
+
+
+def test_personal_data_background_counts_all_places(spark):
+    rng = random.Random(31)
+    bits = ["me", "at", "Me", "AT,", "é", "ΟΔΟΣ", "v2", "a@b.c", "7", "x" * 45, "Y" * 79, "9" + "z" * 70, "z" * 90]
+    gaps = [" "] * 8 + ["  ", "\n", "\t \r\n", "\x0b\x0c", " " * 40, "\xa0"]
+    draw = lambda: "".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randint(0, 30)))
+    texts = ["", " ", "me", "me at", " me at\n", "me at 7", "me at at", *[draw() for _ in range(300)], *[draw().strip() for _ in range(300)]]
+    want = brute_background(texts)
+    patterns = spark.createDataFrame([(p,) for p in [*want, "never there", "me at 7"]], "pattern string")
+    got = pii.count_background(spark.createDataFrame([(t,) for t in texts], "t string"), patterns).collect()
+    assert {r.pattern: r.n for r in got if r.n} == dict(want) and len(want) > 50 and want["me at"] > 20
+
+
+@pytest.mark.parametrize("first, plain, found", [(64, 3, True), (64, 4, False), (2, 3, True), (2, 4, False), (1, 4, False)])
+def test_personal_data_background_covers_texts_without_tokens(spark, monkeypatch, first, plain, found):
+    monkeypatch.setattr(pii, "FIRST", first, raising=False)
+    rows = [(i, f"reach me at u{i}@mail.org", "s") for i in range(20)] + [(30, "reach me at jd-4471-x", "s")]
+    rows += [(40 + i, "they smiled to see me at home", "s") for i in range(plain)]  # 20 / (21 + plain + 1), at least 0.8
+    got = {r.doc_id: len(r.found) for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    assert got == {i: int(found and i == 30) for i, *_ in rows}
+
+
+def brute_trusted(texts, rounds=3, support=4.0, confidence=0.8):
+    """Patterns trusted with the background of all places of all texts."""
+    edges, background = {}, brute_background(texts)
+    for text in texts:
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
+        for pattern, instance, begin, end, _ in brute_candidates(text):
+            edges[pattern, instance] = edges.get((pattern, instance), False) or any(b < end and begin < e for b, e in base)
+    size, seeds = Counter(p for p, _ in edges), {i for (_, i), seed in edges.items() if seed}
+    scores, good = dict.fromkeys(seeds, 1.0), {}
+    for _ in range(rounds):
+        worth = Counter()
+        for p, i in edges:
+            worth[p] += scores.get(i, 0.0)
+        good = {p: w / (size[p] + background[p] + 1) for p, w in worth.items() if w >= support}
+        good = {p: v for p, v in good.items() if v >= confidence}
+        miss = {}
+        for p, i in edges:
+            if p in good and i not in seeds:
+                miss[i] = miss.get(i, 1.0) * (1 - min(good[p], 0.999))
+        scores = dict.fromkeys(seeds, 1.0) | {i: 1 - m for i, m in miss.items()}
+    return set(good)
+
+
+def test_personal_data_in_parts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FIRST", 3, raising=False)
+    rng = random.Random(41)
+    cues = [f"cue{'abcdefghijkl'[k]} at" for k in range(12)]
+    plain = {cue: k for k, cue in enumerate(cues)}  # the more places without a token, the later the cue
+    texts = [f"lorem {cue} u{rng.randint(0, 10**6)}@mail.org" for cue in cues for _ in range(30)]
+    texts += [f"ipsum {rng.choice(cues)} AB-{rng.randint(100, 119)}-x dolor" for _ in range(40)]
+    texts += [f"see {cue} home {cue}" for cue in cues for _ in range(plain[cue])]
+    texts += [f"badge number AB-{n}-x" for n in range(100, 120)] + [f"badge number CD-{n}-x" for n in range(100, 103)]
+    trusted = brute_trusted(texts)
+    assert 2 < len(trusted & set(cues)) < 10
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = {r.doc_id: {(s.begin, s.end) for s in r.found} for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    for k, text in enumerate(texts):
+        seeds = brute_spans(text)
+        want = {(b, e) for p, i, b, e, _ in brute_candidates(text) if p in trusted and not seeds}
+        assert got[k] == want, text
+    assert sum(map(len, got.values())) > 5
+
+
 # ---------------------------------------------------------------- secrets
 
 SECRET_RULES = (

@@ -27,6 +27,10 @@ TOKEN = rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+"
 #: Two words at the end of the text before a token.
 CONTEXT = rf"(?:^|[{BLANK}])([^{BLANK}]+)[{BLANK}]+([^{BLANK}]+)[{BLANK}]+$"
 REACH = 80
+#: Background is counted in one of so many parts of the rows first, then in all others.
+FIRST = 64
+#: Before each word but a first one at the text's start.
+WORD_START = rf"(?<=[{BLANK}])(?![{BLANK}])"
 
 
 def _digits(match):
@@ -96,38 +100,53 @@ def base_spans(text) -> F.Column:
     return F.concat(*parts)
 
 
-_CANDIDATE = "array<struct<pattern:string,instance:string,begin:int,end:int,background:string>>"
+_CANDIDATE = "array<struct<pattern:string,instance:string,begin:int,end:int>>"
 
 
-def candidates(text) -> F.Column:
-    """Tokens with a digit or ``@`` that follow two words, with those words as their pattern.
+def _pair(before) -> F.Column:
+    """The pattern that a text ends with: its last two words in the last ``REACH`` characters."""
+    near = F.right(before, F.lit(REACH))
+    words = lambda g: F.regexp_extract(near, CONTEXT, g)
+    return F.when(words(1) != "", F.lower(F.concat(words(1), F.lit(" "), words(2))))
 
-    ``background`` is a pair of words from the text before, away from the token: it shows
-    how common a pair is where no token follows.
-    """
 
-    def pair(before):
-        words = lambda g: F.regexp_extract(before, CONTEXT, g)
-        return F.when(words(1) != "", F.lower(F.concat(words(1), F.lit(" "), words(2))))
+def candidates(text) -> F.Column:
+    """Tokens with a digit or ``@`` that follow two words, with those words as their pattern."""
 
     def keep(hit, begin, piece):
         bare = F.regexp_replace(F.regexp_replace(hit, r"^[\"'(<\[]+", ""), r"[.,;:!?)\"'>\]]+$", "")
         head = F.length(F.regexp_extract(hit, r"^[\"'(<\[]+", 0))
-        away = F.substring(piece, F.lit(1), F.least(F.lit(REACH), F.floor(F.length(piece) / 2).cast("int")))
-        middle = F.regexp_extract(away, rf"^[^{BLANK}]*[{BLANK}][\s\S]*[{BLANK}]", 0)
         found = lambda pattern: F.struct(
             pattern.alias("pattern"),
             bare.alias("instance"),
             (begin + head).alias("begin"),
             (begin + head + F.length(bare)).alias("end"),
-            pair(middle).alias("background"),
         )
         known = lambda p: F.when(p.isNull(), F.array().cast(_CANDIDATE)).otherwise(F.array(found(p)).cast(_CANDIDATE))
-        return F.get(F.transform(F.array(pair(F.right(piece, F.lit(REACH)))), known), F.lit(0))
+        return F.get(F.transform(F.array(_pair(piece)), known), F.lit(0))
 
     return F.when(text.rlike("[0-9@]"), _walk(text, TOKEN, keep, _CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
 
 
+def count_background(texts: DataFrame, patterns: DataFrame, *, text_col: str = "t") -> DataFrame:
+    """``pattern, n``: at how many places of ``texts`` each of ``patterns`` stands and no token follows.
+
+    A text ends as if with a blank. ``texts``: none null. The words of a text with the blanks
+    behind them become rows. (The outer explode and the pattern that is never null keep Spark
+    from computing both twice for a filter.)
+    """
+    words = texts.select(F.split(F.concat(text_col, F.lit(" ")), WORD_START).alias("words"))
+    words = words.select("words", F.posexplode_outer("words").alias("i", "a"))
+    runs = words.select("a", F.get("words", F.col("i") + 1).alias("b"), F.get("words", F.col("i") + 2).alias("c"))
+    bare = lambda w: F.rtrim(w, F.lit(" \t\n\x0b\x0c\r"))
+    whole = F.lower(F.concat(bare("a"), F.lit(" "), bare("b")))
+    pattern = F.when(F.length("a") + F.length("b") <= REACH, whole).when(~F.col("a").rlike("[0-9@]"), _pair(F.concat("a", "b")))
+    alone = ~F.coalesce("c", F.lit("")).rlike("[0-9@]")
+    places = runs.select(F.coalesce(pattern, F.lit("")).alias("pattern"), alone.alias("alone"))
+    met = places.join(patterns.select("pattern"), "pattern", "left_semi")
+    return met.groupBy("pattern").agg(F.count_if("alone").alias("n"))
+
+
 def joined(spans) -> F.Column:
     """``kind:begin:end`` by kind, then start, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -141,11 +160,11 @@ def joined(spans) -> F.Column:
 
 
 def score_patterns(
-    edges: DataFrame, background: DataFrame, *, rounds: int, support: float, confidence: float
+    edges: DataFrame, background: DataFrame | None, *, rounds: int, support: float, confidence: float
 ) -> DataFrame:
     """``pattern, confidence`` of the patterns that end with a high confidence.
 
-    ``edges``: ``pattern, instance, seed`` (distinct); ``background``: ``pattern, n``. Each
+    ``edges``: ``pattern, instance, seed`` (distinct); ``background``: ``pattern, n`` (none: 0). Each
     round, a pattern is worth the sum of its instances' scores over its instances, its
     background occurrences and 1; patterns that reach ``support`` and ``confidence`` score
     the instances in turn (noisy or; seeds keep 1).
@@ -156,7 +175,8 @@ def score_patterns(
         met = edges.join(scores, "instance", "left").groupBy("pattern").agg(
             F.sum(F.coalesce("score", F.lit(0.0))).alias("worth"), F.count(F.lit(1)).alias("n_instances")
         )
-        ranked = met.where(F.col("worth") >= support).join(background, "pattern", "left")
+        ranked = met.where(F.col("worth") >= support)
+        ranked = ranked.withColumn("n", F.lit(0)) if background is None else ranked.join(background, "pattern", "left")
         value = F.col("worth") / (F.col("n_instances") + F.coalesce("n", F.lit(0)) + 1)
         former = good
         good = materialise(
@@ -195,9 +215,15 @@ def find_personal_data(
 
     Null text counts as empty and has no spans; texts of any length are read whole; null ids
     and repeated rows have results like any others (rows are told apart by id and text); an
-    empty table gives an empty result; other columns are not read. Counts cover all documents.
-    Shuffled are only tokens with their patterns, never texts; a hot pattern or token is
-    combined map-side, and its joins are split by AQE.
+    empty table gives an empty result; other columns are not read. Counts cover all documents:
+    a pattern's background is each place of any text, with or without tokens, where it stands
+    and no token follows. It is counted in one part of the rows (one of ``FIRST``) and then in
+    all others, each time for the patterns that are trusted by the places counted so far. That
+    loses none: more background only lowers a confidence, and with it all that follow from
+    it, so a pattern that the places of one part rule out is out by all places too. The patterns
+    trusted at the end have all their places counted. Shuffled are only tokens with their
+    patterns and, where the patterns to count are too many to broadcast, pairs of words, never
+    texts; a hot pattern or token is combined map-side, and its joins are split by AQE.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
@@ -207,16 +233,24 @@ def find_personal_data(
     )
     over = F.exists("base", lambda b: (b["begin"] < F.col("c.end")) & (F.col("c.begin") < b["end"]))
     tokens = rows.select("id", "mark", "base", F.explode("tokens").alias("c")).select(
-        "id", "mark", over.alias("seed"), "c.pattern", "c.instance", "c.begin", "c.end", "c.background"
+        "id", "mark", over.alias("seed"), "c.pattern", "c.instance", "c.begin", "c.end"
     )
     edges = materialise(
         tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges"
     )
-    background = tokens.where("background IS NOT NULL").groupBy(F.col("background").alias("pattern")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    background = materialise(background.join(edges.select("pattern").distinct(), "pattern", "left_semi"), "pii-background")
-    good = score_patterns(edges, background, rounds=rounds, support=support, confidence=confidence)
+    dealt = F.pmod(F.xxhash64("id", "mark"), F.lit(FIRST)) == 0
+    slack = 1e-6  # while places are missing: sums in another order may differ in the last digit
+    good = score_patterns(edges, None, rounds=rounds, support=support - slack, confidence=confidence - slack)
+    background = None
+    for part, slack in ((row.where(dealt), slack), (row.where(~dealt), 0.0)):
+        more = count_background(part, good)
+        if background is not None:
+            more = more.unionByName(background).groupBy("pattern").agg(F.sum("n").alias("n"))
+        former = [good] if background is None else [good, background]
+        background = materialise(more, "pii-background")
+        good = score_patterns(edges, background, rounds=rounds, support=support - slack, confidence=confidence - slack)
+        for old in former:
+            drop_materialised(old)
     drop_materialised(edges)
     drop_materialised(background)
     like_id = (F.length("instance") >= 5) & (
