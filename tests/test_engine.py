@@ -148,6 +148,44 @@ def test_hamming_plans_agree_with_brute_force(spark, radius):
     }
 
 
+def test_block_index_shuffles_few_rows_a_fingerprint(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [rng.getrandbits(63) for _ in range(300)]
+    prints = base + [base[0] ^ sum(1 << b for b in rng.sample(range(64), 5)) for _ in range(200)]  # a large group
+    prints = list(dict.fromkeys(p - (1 << 64) if p >> 63 else p for p in prints))
+    df = records(spark, [(f"r{i:03}", "train", "a", None, p, None) for i, p in enumerate(prints)])
+    gaps = ((a, b, ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count()) for a, b in itertools.combinations(range(len(prints)), 2))
+    want = sorted((f"r{a:03}", f"r{b:03}", d) for a, b, d in gaps if d <= 8)
+    assert len(want) > 1000
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled()
+        got = sorted(map(tuple, duplicates.hamming_pairs(df, 8, plan="blocks").collect()))
+        assert got == want and shuffled() - before < 20 * len(prints)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for agreeing in (1, 2, 3):
+        monkeypatch.setattr(duplicates, "index_masks", lambda n, radius, k=agreeing: duplicates.block_masks(radius, k))
+        for block in (30, 8192):
+            assert sorted(map(tuple, duplicates.hamming_pairs(df, 8, plan="blocks", block=block).collect())) == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 8, 61, 63, 64])
+def test_block_masks_miss_no_pair(radius):
+    rng = random.Random(radius)
+    for agreeing in (1, 2, 3) if radius < 10 else (1,):
+        masks = duplicates.block_masks(radius, agreeing)
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(flips & m == 0 for m in masks)
+
+
 def test_cosine_blocks_agree_with_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(60, 8)).astype(np.float32)
