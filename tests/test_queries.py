@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from twinsieve.plans import queries as plans
 from twinsieve.plans.experiment import QUERIES as EXPERIMENT
-from twinsieve.plans.oracle import ORACLES
+from twinsieve.plans.oracle import BODIES, ORACLES
 from twinsieve.plans.queries import QUERIES as PLANS
 from twinsieve.plans.reports import QUERIES as REPORTS
 
@@ -40,6 +41,20 @@ def test_query(spark, duck, name):
         assert rows == sorted(plain([r[i] for i in order]) for r in got.fetchall())
 
 
+def test_radius_is_selected_by_the_rounded_rates(spark, monkeypatch):
+    """Recalls of 1 and 1 - 1 / 3,000,001, or precisions of 0.1 and just below, are equal to six digits."""
+    for wrong in (1000, 27_000_012):
+        rows = [(0, True, False, 10, 3_000_000), (0, True, False, 40, 1), (0, False, False, 10, wrong), (1, True, False, 12, 5), (1, False, False, 9, 7)]
+        con = duckdb.connect()
+        values = ", ".join(map(str, rows))
+        con.execute(f"CREATE TABLE truth AS SELECT fold, is_duplicate, exact, distance FROM (VALUES {values}) v(fold, is_duplicate, exact, distance, n), range(n)")
+        pairs = spark.createDataFrame(rows, "fold int, is_duplicate boolean, exact boolean, distance int, n long")
+        monkeypatch.setattr(plans, "_truth", lambda spark, sf_dir, pairs=pairs: pairs)
+        df = QUERIES["select_radius"](spark, SF)
+        got = con.execute(f"SELECT {', '.join(df.columns)} FROM ({BODIES['select_radius']})").fetchall()
+        assert sorted(map(plain, df.collect())) == sorted(map(plain, got)) and len(got) == 2 and got[0][0] == 10
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
